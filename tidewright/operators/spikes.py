@@ -39,7 +39,7 @@ FIELDS = ("total_momentary_fuel", "speed_over_ground", "wind_speed", "wave_heigh
 BLOCK, HALO, BUCKET = 2048, 64, 256
 
 #: Length of the running median; a leap in scales of the source and of its surroundings.
-WINDOW, LEAP, LOCAL_LEAP = 9, 8.5, 5.5
+WINDOW, LEAP, LOCAL_LEAP = 9, 9.0, 5.5
 
 #: Successive equal values that make a stuck run.
 STUCK = 6
@@ -124,7 +124,7 @@ def leaps(y: np.ndarray, candidate: np.ndarray, scale: float) -> np.ndarray:
                 line = before + (after - before) * (j + 1) / (k + 1)
                 up, down = np.minimum(up, g(j) - line), np.minimum(down, line - g(j))
                 over, under = np.minimum(over, g(j) - hi), np.minimum(under, lo - g(j))
-                member &= np.concatenate([candidate[j:], np.zeros(j, bool)])
+                member &= np.concatenate([(candidate & (course >= LEAP * scale))[j:], np.zeros(j, bool)])
             leap = np.maximum(up, down)
             member &= np.maximum(over, under) > leap / 2
             # the course next to the run: a ramp or a slow-down is none

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.operators import badrows, grid, spikes
+from tidewright.operators import badrows, fill, grid, spikes
 from tidewright.session import table
 
 
+def p1_filled(spark: SparkSession, d: str) -> DataFrame:
+    return fill.fill_all(table(spark, d, "vessel_records"), table(spark, d, "partition_rows"), table(spark, d, "vessels"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_filled(spark, d).select("table_name", "row_id", "field_name", "vessel_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_cells(table(spark, d, "vessel_records"), table(spark, d, "vessels"))
 
@@ -34,4 +42,4 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return grid.leg_series(table(spark, d, "partition_rows"), table(spark, d, "vessels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_valid, p3_summary, p4_found, p4_series)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p3_found, p3_valid, p3_summary, p4_found, p4_series)}
