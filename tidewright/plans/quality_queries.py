@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.operators import badrows, fill, grid, spikes
+from tidewright.operators import badrows, fill, grid, profile, spikes
 from tidewright.session import table
 
 
@@ -42,4 +42,13 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return grid.leg_series(table(spark, d, "partition_rows"), table(spark, d, "vessels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p3_found, p3_valid, p3_summary, p4_found, p4_series)}
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.departures(table(spark, d, "voyage_reports"))
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.profile(table(spark, d, "voyage_reports"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p3_found, p3_valid, p3_summary, p4_found, p4_series, p5_found, p5_profile)}
