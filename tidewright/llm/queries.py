@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, mixture
+from tidewright.llm import bpe, mixture, subjects
 from tidewright.session import table
 
 
@@ -24,6 +24,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_mixture, p7_shares)}
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.treated(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 ORACLES: dict[str, str] = {}
