@@ -52,3 +52,33 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_filled, p2_found, p3_found, p3_valid, p3_summary, p4_found, p4_series, p5_found, p5_profile)}
+
+# Where SQL can state the result on its own, from the definitions rather than from the operator.
+_NAMED = "lower(regexp_replace(x.vessel_id, '^\\s+|\\s+$', '', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+        with r as (select leg_id, time_index // 300 as slot from partition_rows
+                   where time_index is not null and time_index >= 0 and total_momentary_fuel is not null
+                     and not isnan(total_momentary_fuel) and total_momentary_fuel >= 0),
+             s as (select distinct leg_id, slot from r),
+             g as (select leg_id, slot, lead(slot) over (partition by leg_id order by slot) as nxt from s),
+             e as (select leg_id, unnest(range(slot + 1, nxt)) as slot from g where nxt > slot + 1),
+             n as (select x.leg_id, v.vessel_id, count(*) as k from partition_rows x join vessels v on {_NAMED} = v.vessel_id group by 1, 2),
+             l as (select leg_id, arg_min(vessel_id, (-k, vessel_id)) as vessel_id from n group by 1)
+        select e.leg_id, l.vessel_id, e.slot from e left join l using (leg_id)""",
+    "p1_found": f"""
+        with r as (select x.*, v.vessel_id as name, v.logger_model from vessel_records x join vessels v on {_NAMED} = v.vessel_id),
+             odd as (select distinct logger_model, wave_height, name, time_index from r where not isnan(wave_height) and (wave_height < 0 or wave_height > 25)),
+             c as (select logger_model, wave_height, count(*) as n, sum(count(*)) over (partition by logger_model) as total from odd group by 1, 2),
+             code as (select logger_model, wave_height from c where n >= 3 and n >= 0.1 * total),
+             p as (select x.*, v.vessel_id as name from partition_rows x left join vessels v on {_NAMED} = v.vessel_id),
+             l as (select leg_id, mode(name) as name from p group by 1)
+        select 'vessel_records' as table_name, row_id, 'wave_height' as field_name, name as vessel_id from r
+        where wave_height is null or isnan(wave_height) or (logger_model, wave_height) in (select logger_model, wave_height from code)
+        union all
+        select 'vessel_records', row_id, 'wind_direction', name from r
+        where wind_direction is null or isnan(wind_direction) or wind_direction < 0 or wind_direction > 360
+        union all
+        select 'partition_rows', p.row_id, 'vessel_id', l.name from p join l using (leg_id) where p.name is null""",
+}
