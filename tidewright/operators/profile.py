@@ -22,10 +22,12 @@ departing only by ordinary sampling are none; an empty table gives no rows;
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidewright.functions.names import is_null_word, squeezed
+from tidewright.session import stage
 
 #: Categories a column may have for their shares to be compared.
 CATEGORIES = 64
@@ -100,8 +102,6 @@ def expressions(values: DataFrame) -> DataFrame:
 
 
 def _w(*cols: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*cols)
 
 
@@ -139,20 +139,27 @@ def departures(df: DataFrame, load: str = "load_id", columns: list[str] | None =
     """(load, column_name) of each column of a load that clearly departs from the other loads.
 
     With fewer than three loads nothing can be told and nothing is returned.
+    The cells are staged once; figures of loads, which are few beside them, are
+    staged in turn, so that every comparison is a small plan over small tables.
     """
-    from tidewright.session import stage
-
     columns = columns or [c for c in df.columns if c != load]
-    rows = merged_rows(df.select(load, *[f"`{c}`" for c in columns]), load)
+    rows = stage(merged_rows(df.select(load, *[f"`{c}`" for c in columns]), load))
     cells = stage(expressions(cell_counts(rows, load, columns)))
-    n_loads = cells.select("_load").distinct().count()
+    figures = stage(
+        cells.groupBy("_load", "col", F.coalesce("expr", F.lit("")).alias("key"), F.col("v").isNull().alias("miss")).agg(
+            F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum(F.when(F.col("x") <= 0, F.col("n")).otherwise(0)).alias("nonpos"), F.count("x").alias("numeric")
+        )
+    )
+    present = F.when(F.col("miss"), 0).otherwise(F.col("n"))
+    totals = stage(
+        figures.groupBy("_load", "col").agg(
+            F.sum("n").alias("n"), F.sum(present).alias("present"), F.sum("distinct").alias("distinct"), F.sum("nonpos").alias("nonpos"), F.sum("numeric").alias("numeric")
+        )
+    )
+    n_loads = totals.select("_load").distinct().count()
     if n_loads < 3:
         return df.select(load, F.lit("").alias("column_name")).limit(0)
 
-    totals = cells.groupBy("_load", "col").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.count("v").alias("distinct"),
-        F.sum(F.when(F.col("x") <= 0, F.col("n")).otherwise(0)).alias("nonpos"), F.count("x").alias("numeric"),
-    )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     metric = lambda name, v, n, least: F.struct(F.lit(name).alias("metric"), v.alias("y"), F.col(n).cast("double").alias("size"), F.lit(least).alias("least"))
     shares = totals.select("_load", "col", F.explode(F.array(
@@ -162,22 +169,30 @@ def departures(df: DataFrame, load: str = "load_id", columns: list[str] | None =
     )).alias("m")).select("_load", "col", "m.*")
     dup = rows.groupBy(F.col(load).alias("_load")).agg(F.sum("_copies").alias("n"), F.sum(F.when(F.col("_copies") > 1, F.col("_copies")).otherwise(0)).alias("eq"))
     dup = dup.select("_load", F.lit(-1).cast("short").alias("col"), F.lit("equal").alias("metric"), (F.col("eq") / F.col("n")).alias("y"), F.col("n").cast("double").alias("size"), F.lit(SHARE).alias("least"))
-    share_hits = _outlying(shares.unionByName(dup).where("y is not null"))
+    hits = [stage(_outlying(stage(shares.unionByName(dup).where("y is not null"))))]
 
     # a category's spelling is judged by its expression, its share without regard to case and blanks
-    cats = cells.where("v is not null and x is null").groupBy("_load", "col", F.regexp_replace(squeezed(F.col("v")), r"[\s_\-]+", "_").alias("key")).agg(F.sum("n").alias("n"))
-    few = cats.groupBy("col", "key").agg(F.sum("n").alias("n")).groupBy("col").agg(F.count("*").alias("k")).where(F.col("k") <= CATEGORIES).select("col")
-    cat_hits = _distribution(cats.join(F.broadcast(few), "col"), totals, n_loads)
-    exprs = cells.where("v is not null").groupBy("_load", "col", F.coalesce("expr", F.lit("")).alias("key")).agg(F.sum("n").alias("n"))
-    expr_hits = _distribution(exprs, totals, n_loads)
-
-    levels = cells.where("x > 0").groupBy("_load", "col").agg(
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), F.sum("n").alias("size")
-    )
-    level_hits = _shifted(levels)
+    key = F.regexp_replace(squeezed(F.col("v")), r"[\s_\-]+", "_")
+    texts = cells.where("v is not null and x is null")
+    few = [r[0] for r in texts.groupBy("col").agg(F.approx_count_distinct("v", 0.02).alias("k")).where(F.col("k") <= CATEGORIES).collect()]  # one row a column
+    if few:
+        hits.append(stage(_distribution(stage(texts.where(F.col("col").isin(few)).groupBy("_load", "col", key.alias("key")).agg(F.sum("n").alias("n"))), totals)))
+    hits.append(stage(_distribution(figures.where("not miss").select("_load", "col", "key", "n"), totals)))
+    hits.append(stage(_shifted(stage(_levels(cells)))))
     name = F.element_at(F.array(F.lit("*"), *[F.lit(c) for c in columns]), F.col("col") + 2)
-    hits = share_hits.unionByName(cat_hits).unionByName(expr_hits).unionByName(level_hits).distinct()
-    return hits.select(F.col("_load").alias(load), name.alias("column_name"))
+    return reduce(DataFrame.unionByName, hits).distinct().select(F.col("_load").alias(load), name.alias("column_name"))
+
+
+_OCTAVE = 32
+
+
+def _levels(cells: DataFrame) -> DataFrame:
+    """Quartiles of the positive values of each column of each load, in steps of 1/32 octave."""
+    bins = cells.where("x > 0").groupBy("_load", "col", F.floor(F.log2("x") * _OCTAVE).alias("b")).agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("_load", "col")
+    cum = bins.withColumn("c", F.sum("n").over(w.orderBy("b"))).withColumn("size", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(F.col("c") >= q * F.col("size"), (F.col("b") + 0.5) / _OCTAVE * math.log(2)))
+    return cum.groupBy("_load", "col").agg(at(0.5).alias("y"), (at(0.75) - at(0.25)).alias("iqr"), F.first("size").cast("double").alias("size"))
 
 
 def _centre(stats: DataFrame, by: list[str], y: str) -> DataFrame:
@@ -199,7 +214,7 @@ def _outlying(shares: DataFrame) -> DataFrame:
     return c.where(far & ((F.col("metric") != "distinct") | (F.col("y") < F.col("mid")) | (F.col("size") > 0.5 * F.col("usual_size")))).select("_load", "col")
 
 
-def _distribution(counts: DataFrame, totals: DataFrame, n_loads: int) -> DataFrame:
+def _distribution(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Loads whose shares of keys differ from the usual shares in sum."""
     size = totals.where("present > 0").select("_load", "col", F.col("present").alias("size"))
     shares = counts.join(size, ["_load", "col"]).withColumn("y", F.col("n") / F.col("size"))
@@ -221,10 +236,9 @@ def _distribution(counts: DataFrame, totals: DataFrame, n_loads: int) -> DataFra
 
 def _shifted(levels: DataFrame) -> DataFrame:
     """Loads whose median of positive values is another level or unit."""
-    l = levels.select("_load", "col", F.log(F.col("q")[1]).alias("y"), F.log(F.col("q")[2] / F.col("q")[0]).alias("iqr"), F.col("size").cast("double").alias("size"))
-    c = _centre(l, ["col"], "y")
-    width = c.groupBy("col").agg(F.percentile("iqr", F.lit(0.5)).alias("usual_iqr"))
-    c = c.join(F.broadcast(width), "col")
+    c = _centre(levels, ["col"], "y")
+    width = levels.groupBy("col").agg(F.percentile("iqr", F.lit(0.5)).alias("usual_iqr"))
+    c = c.join(F.broadcast(width), "col")  # one row a column
     se = F.sqrt(F.pow(0.93 * F.col("usual_iqr"), 2) / F.col("size") + F.pow(F.col("off") * 1.4826, 2))
     gap = F.abs(F.col("y") - F.col("mid"))
     return c.where((gap > math.log(LEVEL)) & (gap > 5.0 * se)).select("_load", "col")
