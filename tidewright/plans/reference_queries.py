@@ -432,3 +432,47 @@ def identity_alignment(spark, d):
 def legacy_clean(spark, d):
     """Wide frame: normalise, merge equal rows, fill by medians, flag what was filled."""
     return canonical.legacy_clean(table(spark, d, "voyage_reports"), ["sailing_speed", "displacement", "swell_height"], ["vessel_type"]).drop("record_id")
+
+
+# ---- models: rows only, no SQL ----
+
+
+@query()
+def rotation_predictions(spark, d):
+    """Expectations of a six-qubit rotation regressor with fixed weights, in kg/s."""
+    import numpy as np
+
+    from tidewright.models import rotations
+
+    p = _split(spark, d)
+    m = features.MinMax.fit(p.where("split = 'train'"), (*FEATURES, TARGET))
+    low, high = m.ranges[TARGET]
+    return rotations.predict(features.angle_features(p, m), [f"a_{f}" for f in FEATURES], np.linspace(0.1, 1.2, 12), "record_id", low, high)
+
+
+@query(f"""with {_S}, t as (select avg(speed_over_ground) as mx, avg({TARGET}) as my, covar_pop(speed_over_ground, {TARGET}) as c, var_pop(speed_over_ground) as v, count(*) as n from p where split = 'train' and speed_over_ground is not null)
+select record_id, round(my + c / (v + 1.0::double / n) * (speed_over_ground - mx), 5) as prediction from p, t where split = 'validation' and speed_over_ground is not null""")
+def ridge_closed_form(spark, d):
+    """Ridge (penalty 1) of fuel on speed, fitted on training rows."""
+    from tidewright.models import regress
+
+    p = _split(spark, d).where("speed_over_ground is not null").select("record_id", "split", "speed_over_ground", TARGET)
+    x = regress.assembled(p, ("speed_over_ground",))
+    train = x.where("split = 'train'")
+    m = regress.estimator("ridge", {"alpha": 1.0}, train, TARGET).fit(train)
+    return m.transform(x.where("split = 'validation'")).select("record_id", _r(F.col("prediction"), 5).alias("prediction"))
+
+
+def _model(name, params):
+    def run(spark, d):
+        from tidewright.models import regress
+
+        x = regress.assembled(classical_features(_split(spark, d))[0], tuple(f"z_{c}" for c in features.CLASSICAL))
+        train = x.where("split = 'train'")
+        return regress.estimator(name, params, train, TARGET).fit(train).transform(x.where("split = 'validation'")).select("record_id", "prediction")
+
+    return run
+
+
+QUERIES["rf_predict"] = _model("random_forest", {"trees": 20, "depth": 6, "leaf": 2})
+QUERIES["gbt_predict"] = _model("gradient_boosting", {"rounds": 10, "rate": 0.1, "depth": 3})
