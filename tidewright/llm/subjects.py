@@ -275,12 +275,16 @@ def _leaf_sums(vecs: DataFrame, tree: Tree, sides: dict[int, np.ndarray] | None)
             for k in np.unique(at):
                 part = np.concatenate([[(at == k).sum()], x[at == k].sum(0, dtype=float)])
                 total[int(k)] = total.get(int(k), 0) + part
-        keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["k", "s"])
-
-    parts = vecs.select("v").mapInArrow(run, "k long, s array<double>")
-    summed = parts.groupBy("k").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(DIM + 1)])
-    return {r[0]: (r[1], np.array(r[2:])) for r in summed.collect()}
+        keys = np.array(sorted(total), np.int64)
+        at = (keys[:, None] * (DIM + 1) + np.arange(DIM + 1)).ravel()
+        flat = np.concatenate([np.zeros(0), *[total[k] for k in keys.tolist()]])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat)], names=["k", "s"])
+
+    got = vecs.select("v").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
+    out: dict[int, np.ndarray] = {}
+    for k, s in zip(got["k"].to_numpy(), got["s"].to_numpy()):  # leaves x 129 numbers
+        out.setdefault(int(k) // (DIM + 1), np.zeros(DIM + 1))[int(k) % (DIM + 1)] = s
+    return {k: (v[0], v[1:]) for k, v in out.items()}
 
 
 # ---- labels, leaves and term weights -----------------------------------------------------------
