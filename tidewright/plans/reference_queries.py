@@ -450,8 +450,8 @@ def rotation_predictions(spark, d):
     return rotations.predict(features.angle_features(p, m), [f"a_{f}" for f in FEATURES], np.linspace(0.1, 1.2, 12), "record_id", low, high)
 
 
-@query(f"""with {_S}, t as (select avg(speed_over_ground) as mx, avg({TARGET}) as my, covar_pop(speed_over_ground, {TARGET}) as c, var_pop(speed_over_ground) as v, count(*) as n from p where split = 'train' and speed_over_ground is not null)
-select record_id, round(my + c / (v + 1.0::double / n) * (speed_over_ground - mx), 5) as prediction from p, t where split = 'validation' and speed_over_ground is not null""")
+@query(f"""with {_S}, t as (select avg(speed_over_ground) as mx, avg({TARGET}) as my, covar_pop(speed_over_ground, {TARGET}) as c, var_pop(speed_over_ground) as v, count(*) as k from p where split = 'train' and speed_over_ground is not null)
+select record_id, round(my + c / (v + 1.0::double / k) * (speed_over_ground - mx), 5) as prediction from p, t where split = 'validation' and speed_over_ground is not null""")
 def ridge_closed_form(spark, d):
     """Ridge (penalty 1) of fuel on speed, fitted on training rows."""
     from tidewright.models import regress
