@@ -33,6 +33,8 @@ REASONS = ("quoting", "column_count", "time_index", "fuel")
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _WELL_QUOTED = re.compile(r'(?:(?<=,)|^)"(?:[^"]|"")*"(?=,|$)')
 
+csv.field_size_limit(1 << 31)  # texts may be long
+
 _OUT = "line_id long, reason string, vessel_id string, time_index long, " + ", ".join(f"{f} double" for f in (*FEATURES, "fuel_consumption_kg_s"))
 
 

@@ -38,7 +38,7 @@ SHARE, SPREAD, DISTINCT, LEVEL, SIGMAS = 0.1, 0.15, 0.25, 1.2, 7.0
 
 # bits for one character of each kind. log2 of 10, 26, 62 and 95.
 _DIGIT, _LETTER, _WORD, _ANY = 3.32, 4.70, 5.95, 6.57
-_RUN, _TOKEN = 3.0, 6.0
+_RUN, _TOKEN, _NEW = 3.0, 6.0, 12.0
 
 
 def merged_rows(df: DataFrame, load: str) -> DataFrame:
@@ -95,8 +95,8 @@ def expressions(values: DataFrame) -> DataFrame:
     )
     shapes = shapes.join(g2.select("col", "s2", (F.col("own2") < F.col("under1")).alias("use2")), ["col", "s2"])
     shapes = shapes.withColumn("expr", F.when(F.col("use2"), F.col("s2")).when(F.col("use1"), F.col("s1")).otherwise(F.col("s0")))
-    cost = F.length("expr") * _TOKEN + F.sum(F.col("k") * (F.when(F.col("use2"), (digits + letters) * _WORD).otherwise(F.col("bits")))).over(_w("col", "expr"))
-    plain = F.sum(F.col("k") * (F.col("chars") * _ANY + 8)).over(_w("col", "expr"))
+    cost = _NEW + F.length("expr") * _TOKEN + F.sum(F.col("k") * (F.when(F.col("use2"), (digits + letters) * _WORD).otherwise(F.col("bits")))).over(_w("col", "expr"))
+    plain = F.sum(F.col("k") * (F.col("chars") * _ANY + 4)).over(_w("col", "expr"))
     kept = shapes.select("col", "s0", F.when(cost < plain, F.col("expr")).alias("expr"))
     return values.withColumn("s0", exact).join(kept, ["col", "s0"], "left").drop("s0")
 

@@ -82,7 +82,7 @@ def raw_csv(spark: SparkSession, path: str) -> DataFrame:
     if header != list(SNAPSHOT_COLUMNS):
         raise ValueError("the snapshot's columns are not the raw columns in order")
     schema = ", ".join(f"`{c}` string" for c in SNAPSHOT_COLUMNS)
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("nullValue", "\0").option("emptyValue", "").option("enforceSchema", False).csv(path)
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("nullValue", "\0").option("enforceSchema", False).csv(path).na.fill("")
 
 
 def generic(spark: SparkSession, path: str) -> DataFrame:
