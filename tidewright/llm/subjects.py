@@ -157,17 +157,34 @@ def _doc_terms(text: str | None) -> np.ndarray:
 def _term_lists(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [_doc_terms(t) for t in b.column(1).to_pylist()]
+            lists = [_doc_terms(t) for t in b.column(0).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *lists])
-            # folded to the two numbers a vector needs: a weight class and a signed place
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array((flat & 0x7FFFFFFF).astype(np.int32)))], names=["doc_id", "t"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array((flat & 0x7FFFFFFF).astype(np.int32)))], names=["t"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, t array<int>")
+    return documents.select("text").mapInArrow(run, "t array<int>")
 
 
-def vectors(documents: DataFrame) -> DataFrame:
-    """doc_id and v, the unit vector of each document as 128 signed bytes; staged.
+def _embedded(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors, as signed bytes, of documents given by their terms' hashes, one after the other."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = (flat >> 15) & (DIM - 1)
+    sign = np.where((flat >> 24) & 1, 1.0, -1.0)
+    x = np.bincount(row * DIM + place, weights=idf[flat & (_TABLE - 1)] * sign, minlength=len(sizes) * DIM).reshape(len(sizes), DIM)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.round(x * 127).astype(np.int8)
+
+
+def _leaves(texts: list[str | None], idf: np.ndarray, tree: "Tree") -> np.ndarray:
+    """The leaf of each text, from the same vector that was clustered."""
+    lists = [_doc_terms(t) & 0x7FFFFFFF for t in texts]
+    x = _embedded(np.concatenate([np.zeros(0, np.int64), *lists]), np.array([len(t) for t in lists], np.int64), idf)
+    return tree.leaf(x.astype(np.float32))
+
+
+def vectors(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(v, idf): the unit vector of each document as 128 signed bytes, staged, and
+    the inverse document frequencies of hashed terms.
 
     A document without words has the zero vector.
     """
@@ -180,7 +197,7 @@ def vectors(documents: DataFrame) -> DataFrame:
             df += np.bincount(b.column(0).flatten().to_numpy() & (_TABLE - 1), minlength=_TABLE)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, _TABLE, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], names=["k", "v"])
 
-    got = lists.select("t").mapInArrow(count, "k int, v double").groupBy("k").agg(F.sum("v")).collect()
+    got = lists.mapInArrow(count, "k int, v double").groupBy("k").agg(F.sum("v")).collect()
     df, n = np.zeros(_TABLE), 1.0
     for k, v in got:  # _TABLE + 1 numbers
         if k < 0:
@@ -191,18 +208,11 @@ def vectors(documents: DataFrame) -> DataFrame:
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy()
-            off = lists.offsets.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(off))
-            place = (flat >> 15) & (DIM - 1)
-            sign = np.where((flat >> 24) & 1, 1.0, -1.0)
-            x = np.bincount(row * DIM + place, weights=idf[flat & (_TABLE - 1)] * sign, minlength=b.num_rows * DIM).reshape(b.num_rows, DIM)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            q = np.round(x * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], names=["doc_id", "v"])
+            lists = b.column(0)
+            q = _embedded(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy().astype(np.int64)), idf)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in q], pa.binary())], names=["v"])
 
-    return stage(lists.mapInArrow(embed, "doc_id long, v binary"))
+    return stage(lists.mapInArrow(embed, "v binary")), idf
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -305,21 +315,21 @@ class Model:
         return (sc + self.prior + LEAF_WEIGHT * self.leaves.get(leaf, 0.0)).argmax(1)
 
 
-def labelled_sample(documents: DataFrame, vecs: DataFrame, tree: Tree, labels: DataFrame, n: int = LABELLED):
+def labelled_sample(documents: DataFrame, idf: np.ndarray, tree: Tree, labels: DataFrame, n: int = LABELLED):
     """(doc labels, doc leaf, doc sentences) of at most ``n`` labelled documents."""
     per_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = stage(chosen)  # bounded by n
-    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).join(vecs, "doc_id")
+    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731,B023
-            leaves = tree.leaf(_matrix(get("v"))) if b.num_rows else np.zeros(0, np.int64)
+            leaves = _leaves(get("text").to_pylist(), idf, tree)
             some = [[" ".join(words(s)) for s in sentences(t)[:LABELLED_SENTENCES]] for t in get("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([get("doc_id"), get("subjects"), pa.array(leaves), pa.array(some, pa.list_(pa.string()))], names=["doc_id", "subjects", "leaf", "s"])
 
-    return sorted(got.select("doc_id", "subjects", "text", "v").mapInArrow(run, "doc_id long, subjects array<string>, leaf long, s array<string>").collect())
+    return sorted(got.select("doc_id", "subjects", "text").mapInArrow(run, "doc_id long, subjects array<string>, leaf long, s array<string>").collect())
 
 
 def fit(sample: list, subjects: list[str], rounds: int = 12) -> Model | None:
@@ -397,17 +407,18 @@ def _telling(inside: list[str], everywhere: list[str], top: int = 12) -> list[st
 # ---- assignment --------------------------------------------------------------------------------
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, n: int = LABELLED) -> tuple[DataFrame, Tree, Model | None]:
-    vecs = vectors(documents)
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, n: int = LABELLED) -> tuple[np.ndarray, Tree, Model | None]:
+    vecs, idf = vectors(documents)
     tree = bisect(vecs)
     names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect()]
-    return vecs, tree, fit(labelled_sample(documents, vecs, tree, labels, n), names)
+    return idf, tree, fit(labelled_sample(documents, idf, tree, labels, n), names)
 
 
-def assign(documents: DataFrame, vecs: DataFrame, tree: Tree, model: Model | None) -> DataFrame:
+def assign(documents: DataFrame, idf: np.ndarray, tree: Tree, model: Model | None) -> DataFrame:
     """doc_id, subject, n_sentences, n_about and share of each subject of each document that has any sentence about it.
 
-    The leaf of a document comes with its vector: 128 bytes, joined by doc_id.
+    One pass over the texts where they lie; a document's leaf comes from its
+    vector, made again in the same pass.
     """
     schema = "doc_id long, subject string, n_sentences int, n_about int"
     if model is None:
@@ -417,7 +428,7 @@ def assign(documents: DataFrame, vecs: DataFrame, tree: Tree, model: Model | Non
         known: dict[str, np.ndarray] = {}
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731,B023
-            leaves = tree.leaf(_matrix(get("v"))) if b.num_rows else []
+            leaves = _leaves(get("text").to_pylist(), idf, tree)
             out: list[tuple] = []
             for doc, text, leaf in zip(get("doc_id").to_pylist(), get("text").to_pylist(), leaves):
                 found = []
@@ -439,13 +450,11 @@ def assign(documents: DataFrame, vecs: DataFrame, tree: Tree, model: Model | Non
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "subject", "n_sentences", "n_about"])
 
-    joined = documents.select("doc_id", "text").where("doc_id is not null").join(vecs.dropDuplicates(["doc_id"]), "doc_id")
-    return joined.select("doc_id", "text", "v").mapInArrow(run, schema).withColumn("share", F.col("n_about") / F.col("n_sentences"))
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, schema).withColumn("share", F.col("n_about") / F.col("n_sentences"))
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    vecs, tree, model = train(documents, labels, subjects)
-    return assign(documents, vecs, tree, model)
+    return assign(documents, *train(documents, labels, subjects))
 
 
 def treated(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
