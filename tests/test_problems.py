@@ -305,6 +305,16 @@ def test_departing_columns(spark):
     assert got == {(3, "x"), (4, "x"), (5, "kind"), (6, "code"), (7, "x"), (8, "*"), (9, "code"), (10, "kind")}
 
 
+def test_collapsed_values_of_columns_with_few_distinct_ones(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda rows: 1 + rng.permutation(np.arange(rows) % 40) / 100  # noqa: E731  # 40 values: a distinct share of 0.13
+    ds = [pd.DataFrame({"load_id": i, "code": [f"AB-{i:03d}-{j:05d}" for j in range(rows)], "x": draw(rows), "y": draw(rows)}) for i, rows in enumerate([300] * 9 + [3000, 60])]
+    ds[3].loc[:285, "x"] = 1.2  # stuck at one value
+    ds[5]["y"] = np.resize([1.05, 1.2, 1.35], 300)  # none very frequent, but three only
+    # larger and smaller loads of the same 40 values depart in nothing
+    assert set(map(tuple, profile.departures(spark.createDataFrame(pd.concat(ds, ignore_index=True))).collect())) == {(3, "x"), (5, "y")}
+
+
 def test_no_departures_and_small_inputs(spark):
     df = spark.createDataFrame(pd.concat(loads(seed=4), ignore_index=True))
     assert profile.departures(df).count() == 0

@@ -33,7 +33,8 @@ from tidewright.session import stage
 CATEGORIES = 64
 
 #: Least departure of a share, of a distribution (half the summed differences),
-#: of a distinct share, of a level (ratio); and in standard errors.
+#: of a distinct share (a fall: relative to the usual one), of a level (ratio);
+#: and in standard errors.
 SHARE, SPREAD, DISTINCT, LEVEL, SIGMAS = 0.1, 0.15, 0.25, 1.2, 7.0
 
 # bits for one character of each kind. log2 of 10, 26, 62 and 95.
@@ -147,13 +148,14 @@ def departures(df: DataFrame, load: str = "load_id", columns: list[str] | None =
     cells = stage(expressions(cell_counts(rows, load, columns)))
     figures = stage(
         cells.groupBy("_load", "col", F.coalesce("expr", F.lit("")).alias("key"), F.col("v").isNull().alias("miss")).agg(
-            F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum(F.when(F.col("x") <= 0, F.col("n")).otherwise(0)).alias("nonpos"), F.count("x").alias("numeric")
+            F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum(F.when(F.col("x") <= 0, F.col("n")).otherwise(0)).alias("nonpos"), F.count("x").alias("numeric"),
+            F.max(F.when(F.col("v").isNotNull(), F.col("n"))).alias("top"),
         )
     )
     present = F.when(F.col("miss"), 0).otherwise(F.col("n"))
     totals = stage(
         figures.groupBy("_load", "col").agg(
-            F.sum("n").alias("n"), F.sum(present).alias("present"), F.sum("distinct").alias("distinct"), F.sum("nonpos").alias("nonpos"), F.sum("numeric").alias("numeric")
+            F.sum("n").alias("n"), F.sum(present).alias("present"), F.sum("distinct").alias("distinct"), F.sum("nonpos").alias("nonpos"), F.sum("numeric").alias("numeric"), F.max("top").alias("top")
         )
     )
     n_loads = totals.select("_load").distinct().count()
@@ -165,11 +167,12 @@ def departures(df: DataFrame, load: str = "load_id", columns: list[str] | None =
     shares = totals.select("_load", "col", F.explode(F.array(
         metric("missing", 1 - share("present", "n"), "n", SHARE),
         metric("distinct", share("distinct", "present"), "present", DISTINCT),
+        metric("top", share("top", "present"), "present", SHARE),
         metric("nonpos", F.when(F.col("numeric") > 0, share("nonpos", "present")), "present", SHARE),
     )).alias("m")).select("_load", "col", "m.*")
     dup = rows.groupBy(F.col(load).alias("_load")).agg(F.sum("_copies").alias("n"), F.sum(F.when(F.col("_copies") > 1, F.col("_copies")).otherwise(0)).alias("eq"))
     dup = dup.select("_load", F.lit(-1).cast("short").alias("col"), F.lit("equal").alias("metric"), (F.col("eq") / F.col("n")).alias("y"), F.col("n").cast("double").alias("size"), F.lit(SHARE).alias("least"))
-    hits = [stage(_outlying(stage(shares.unionByName(dup).where("y is not null"))))]
+    hits = [stage(_outlying(stage(shares.unionByName(dup).where("y is not null")))), stage(_collapsed(stage(_drawn(cells, totals))))]
 
     # a category's spelling is judged by its expression, its share without regard to case and blanks
     key = F.regexp_replace(squeezed(F.col("v")), r"[\s_\-]+", "_")
@@ -210,8 +213,36 @@ def _outlying(shares: DataFrame) -> DataFrame:
     se = F.sqrt(m * (1 - m) / F.greatest("size", F.lit(1.0)) + F.pow(F.col("off") * 1.4826, 2))
     gap = F.abs(F.col("y") - F.col("mid"))
     far = (gap > F.col("least")) & (gap > SIGMAS * se)
-    # more distinct values than usual mean nothing where few values are left
-    return c.where(far & ((F.col("metric") != "distinct") | (F.col("y") < F.col("mid")) | (F.col("size") > 0.5 * F.col("usual_size")))).select("_load", "col")
+    rise = F.col("y") > F.col("mid")
+    # more distinct values than usual mean nothing where few values are left; fewer are judged by _collapsed
+    distinct = rise & (F.col("size") > 0.5 * F.col("usual_size"))
+    # the most frequent value of few rows is often a chance pair: Bernstein's term, some 16 rows more than usual at least
+    top = rise & (gap > SIGMAS * se + SIGMAS**2 / 3 / F.col("size"))
+    return c.where(far & F.when(F.col("metric") == "distinct", distinct).when(F.col("metric") == "top", top).otherwise(True)).select("_load", "col")
+
+
+def _drawn(cells: DataFrame, totals: DataFrame) -> DataFrame:
+    """Expected distinct share of 2^(step/2) rows drawn from each load's present values, up to its own size.
+
+    A value held by n of N rows is among m drawn ones with probability
+    1 - (1 - m/N)^n, so only the numbers of values of equal n are needed.
+    """
+    alike = cells.where("v is not null").groupBy("_load", "col", "n").agg(F.count("*").alias("values"))
+    d = alike.join(totals.select("_load", "col", "present"), ["_load", "col"])
+    d = d.withColumn("step", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(2 * F.log2("present")).cast("int"))))).withColumn("size", F.pow(F.lit(2.0), F.col("step") / 2))
+    d = d.where(F.col("size") <= F.col("present") * (1 + 1e-9))
+    among = 1 - F.pow(F.greatest(1 - F.col("size") / F.col("present"), F.lit(0.0)), F.col("n"))
+    return d.groupBy("_load", "col", "step", "size").agg((F.sum(F.col("values") * among) / F.col("size")).alias("y"))
+
+
+def _collapsed(drawn: DataFrame) -> DataFrame:
+    """Loads whose distinct share falls clearly below that of as many rows of the other loads."""
+    c = _centre(drawn.withColumn("y", F.log("y")), ["col", "step"], "y")
+    compared = drawn.groupBy("col", "step").agg(F.count("*").alias("loads")).where("loads >= 3")
+    m = F.least(F.exp("mid"), F.lit(0.998))
+    se = F.sqrt((1 - m) / (m * F.col("size")) + F.pow(F.col("off") * 1.4826, 2))
+    fall = F.col("mid") - F.col("y")
+    return c.join(F.broadcast(compared), ["col", "step"]).where((fall > -math.log(1 - DISTINCT)) & (fall > SIGMAS * se)).select("_load", "col").distinct()
 
 
 def _distribution(counts: DataFrame, totals: DataFrame) -> DataFrame:
