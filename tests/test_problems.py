@@ -315,6 +315,24 @@ def test_collapsed_values_of_columns_with_few_distinct_ones(spark):
     assert set(map(tuple, profile.departures(spark.createDataFrame(pd.concat(ds, ignore_index=True))).collect())) == {(3, "x"), (5, "y")}
 
 
+def test_category_shares_of_any_number_of_values(spark):
+    rng = np.random.default_rng(2)
+    many = [f"{a}{b}" for a in "bcdfghjk" for b in ("alpha", "breve", "colon", "delta", "ember", "fiord", "gamma", "hotel", "india", "joker")]  # 80 names
+    often = np.array([0.05] * 10 + [0.5 / 70] * 70)
+    ds = []
+    for i, rows in enumerate([800] * 9 + [25]):  # the last is small: unique values there are frequent
+        kind = pd.Series(rng.choice(["tug", "ferry", "barge"], rows))
+        ds.append(pd.DataFrame({"load_id": i, "code": [f"AB-{i:03d}-{j:05d}" for j in range(rows)], "port": rng.choice(many, rows, p=often), "kind": kind, "grade": rng.choice([2.0, 3.0, 4.0, 5.0, 6.0], rows)}))
+    ds[2].port = rng.choice(many[:10], 800)  # the frequent names only
+    ds[4].loc[:39, "kind"] = [f"tu{c}{d}" for c in "abcdefgh" for d in "vwxyz"]  # 40 bad spellings, one row each
+    ds[4].loc[40:79, "kind"] = [f"fe{c}{d}" for c in "abcdefgh" for d in "vwxyz"]  # and 40 more
+    ds[6].kind = rng.choice(["tug", "ferry", "barge"], 800, p=[0.7, 0.15, 0.15])
+    ds[7].grade = rng.choice([2.0, 3.0, 4.0, 5.0, 6.0], 800, p=[0.0, 0.05, 0.9, 0.05, 0.0])
+    ds[8].grade = rng.choice([2.0, 4.0, 6.0], 800)  # same median, shares of values gone
+    got = set(map(tuple, profile.departures(spark.createDataFrame(pd.concat(ds, ignore_index=True))).collect()))
+    assert got - {(4, "kind")} == {(2, "port"), (6, "kind"), (7, "grade"), (8, "grade")}
+
+
 def test_no_departures_and_small_inputs(spark):
     df = spark.createDataFrame(pd.concat(loads(seed=4), ignore_index=True))
     assert profile.departures(df).count() == 0

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tidewright.functions.names import is_null_word, squeezed
 from tidewright.session import stage
 
-#: Categories a column may have for their shares to be compared.
-CATEGORIES = 64
+#: Usual share above which a value or category is compared by itself; the rest are compared as one.
+CATEGORY = 0.01
 
 #: Least departure of a share, of a distribution (half the summed differences),
 #: of a distinct share (a fall: relative to the usual one), of a level (ratio);
@@ -176,10 +176,9 @@ def departures(df: DataFrame, load: str = "load_id", columns: list[str] | None =
 
     # a category's spelling is judged by its expression, its share without regard to case and blanks
     key = F.regexp_replace(squeezed(F.col("v")), r"[\s_\-]+", "_")
-    texts = cells.where("v is not null and x is null")
-    few = [r[0] for r in texts.groupBy("col").agg(F.approx_count_distinct("v", 0.02).alias("k")).where(F.col("k") <= CATEGORIES).collect()]  # one row a column
-    if few:
-        hits.append(stage(_distribution(stage(texts.where(F.col("col").isin(few)).groupBy("_load", "col", key.alias("key")).agg(F.sum("n").alias("n"))), totals)))
+    texts = cells.where("v is not null and x is null").groupBy("_load", "col", key.alias("key")).agg(F.sum("n").alias("n"))
+    numbers = cells.where("v is not null and x is not null").select("_load", "col", F.col("v").alias("key"), "n")
+    hits.append(stage(_categories(stage(texts.unionByName(numbers)), totals)))
     hits.append(stage(_distribution(figures.where("not miss").select("_load", "col", "key", "n"), totals)))
     hits.append(stage(_shifted(stage(_levels(cells)))))
     name = F.element_at(F.array(F.lit("*"), *[F.lit(c) for c in columns]), F.col("col") + 2)
@@ -265,6 +264,37 @@ def _distribution(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return per.join(F.broadcast(typical), "col").where(F.col("tv") > limit).select("_load", "col")
 
 
+def _categories(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Loads whose shares of values differ from the usual ones: frequent values singly, the rest as one.
+
+    A median share above CATEGORY needs that share in half of the loads, so the
+    usual values follow from the at most 1 / CATEGORY frequent ones of each load.
+    Of a value frequent in a load but not usually, only the part above what a
+    share of CATEGORY reaches by chance counts by itself, the rest with the rest.
+    """
+    size = totals.where("present > 0").select("_load", "col", F.col("present").alias("size"))
+    shares = counts.join(size, ["_load", "col"]).withColumn("y", F.col("n") / F.col("size"))
+    loads = F.broadcast(size.groupBy("col").agg(F.count("*").alias("loads")))  # one row a column
+    often = stage(shares.where(F.col("y") > CATEGORY))
+    ys = often.groupBy("col", "key").agg(F.sort_array(F.collect_list("y")).alias("ys")).join(loads, "col")
+    at = F.col("loads") - F.floor((F.col("loads") - 1) / 2)  # position from the top
+    usual = stage(ys.where(F.size("ys") >= at).select("col", "key", F.element_at("ys", (F.size("ys") - at + 1).cast("int")).alias("mid")))
+    # at most 2 / CATEGORY rows a column
+    seen = shares.join(F.broadcast(usual), ["col", "key"]).select("_load", "col", "y", "mid")
+    chance = CATEGORY + SIGMAS * F.sqrt(CATEGORY * (1 - CATEGORY) / F.col("size")) + SIGMAS**2 / 3 / F.col("size")
+    extra = often.join(F.broadcast(usual), ["col", "key"], "left_anti").withColumn("y", F.col("y") - chance).where("y > 0").select("_load", "col", "y", F.lit(0.0).alias("mid"))
+    per = seen.unionByName(extra).groupBy("_load", "col").agg(F.sum("y").alias("own"), F.sum("mid").alias("seen_mid"), F.sum(F.abs(F.col("y") - F.col("mid"))).alias("gap"))
+    per = size.join(per, ["_load", "col"], "left").na.fill(0.0, ["own", "seen_mid", "gap"]).withColumn("rest", 1 - F.col("own"))
+    rest = per.groupBy("col").agg(F.percentile("rest", F.lit(0.5)).alias("usual_rest"))
+    base = usual.groupBy("col").agg(F.sum("mid").alias("all_mid"), F.sum(F.sqrt(F.col("mid") * (1 - F.col("mid")))).alias("noise"))
+    per = per.join(F.broadcast(rest), "col").join(F.broadcast(base), "col", "left").na.fill(0.0, ["all_mid", "noise"])
+    per = per.withColumn("tv", (F.col("gap") + F.col("all_mid") - F.col("seen_mid") + F.abs(F.col("rest") - F.col("usual_rest"))) / 2)
+    typical = per.groupBy("col").agg(F.percentile("tv", F.lit(0.5)).alias("usual_tv"))
+    of_rest = F.sqrt(F.greatest(F.col("usual_rest") * (1 - F.col("usual_rest")), F.lit(0.0)))
+    limit = F.lit(SPREAD) + F.col("usual_tv") + 2.0 * (F.col("noise") + of_rest) / F.sqrt("size")
+    return per.join(F.broadcast(typical), "col").where(F.col("tv") > limit).select("_load", "col")
+
+
 def _shifted(levels: DataFrame) -> DataFrame:
     """Loads whose median of positive values is another level or unit."""
     c = _centre(levels, ["col"], "y")
