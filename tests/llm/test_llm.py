@@ -113,6 +113,16 @@ def test_subjects_held_out(spark, sf):
     assert hit / len(got) > 0.93 and hit / len(want) > 0.93, (hit / len(got), hit / len(want))
 
 
+def test_labelled_documents_count_whole(spark):
+    """Two subjects one after the other: the second begins after sentence 200."""
+    long = " ".join([f"The rain fell on deck {i}." for i in range(210)] + [f"The dust lay in hold {i}." for i in range(90)])
+    df = docs(spark, [(i, long, "en", "s") for i in range(3)])
+    vecs, idf = subjects.vectors(df)
+    labels = spark.createDataFrame([(i, s) for i in range(3) for s in ("wet", "dry")], "doc_id long, subject string")
+    sample = subjects.labelled_sample(df, idf, subjects.bisect(vecs), labels)
+    assert [len(r.s) for r in sample] == [300] * 3 and all("dust" in r.s[-1] for r in sample)
+
+
 def test_subjects_defined_cases(spark):
     names = spark.createDataFrame([("wet",), ("dry",)], "subject string")
     none = spark.createDataFrame([], "doc_id long, subject string")

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewright.session import stage
 
-#: Labelled documents the term weights are fitted on, and sentences of each that count there.
-LABELLED, LABELLED_SENTENCES = 6000, 200
+#: Labelled documents the term weights are fitted on, each with all of its sentences.
+LABELLED = 6000
 
 #: Share of a document's sentences that must be about a subject.
 TREATS = 0.2
@@ -326,7 +326,7 @@ def labelled_sample(documents: DataFrame, idf: np.ndarray, tree: Tree, labels: D
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731,B023
             leaves = _leaves(get("text").to_pylist(), idf, tree)
-            some = [[" ".join(words(s)) for s in sentences(t)[:LABELLED_SENTENCES]] for t in get("text").to_pylist()]
+            some = [[" ".join(words(s)) for s in sentences(t)] for t in get("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([get("doc_id"), get("subjects"), pa.array(leaves), pa.array(some, pa.list_(pa.string()))], names=["doc_id", "subjects", "leaf", "s"])
 
     return sorted(got.select("doc_id", "subjects", "text").mapInArrow(run, "doc_id long, subjects array<string>, leaf long, s array<string>").collect())
