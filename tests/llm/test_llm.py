@@ -86,6 +86,20 @@ def test_mixture_shares_and_repeats(spark):
     assert set(zip(m.doc_id, m.epoch)) == set(zip(again.doc_id, again.epoch))
 
 
+def test_mixture_fills_a_shortage_within_the_domain(spark, monkeypatch):
+    rows = [(i, "wind pump sea claim", "en", s) for i, s in enumerate(["a"] * 10 + ["b"] * 100 + ["c"] * 200)]
+    targets = spark.createDataFrame([("A", 0.25, 1, "law"), ("b", 0.25, 1, "law"), ("c", 0.5, 1, "sea")], TARGETS + ", domain string")
+    df = docs(spark, rows)
+    total = 200.0 * mixture.sized(df).first().n_tokens
+    for how in (lambda: mixture.mix(df, targets, total_tokens=total), lambda: mixture.mix(df, targets.drop("domain"), total_tokens=total, domains={"a": "law", "b": "law", "c": "sea"})):
+        got = {r.source: r.taken_documents for r in how()[1].collect()}
+        assert got == {"a": 10, "b": 90, "c": 100}  # c keeps its half; with one domain it would be given a part
+    assert {r.source: r.taken_documents for r in mixture.mix(df, targets.drop("domain"), total_tokens=total)[1].collect()}["c"] > 100
+    monkeypatch.setattr(mixture, "LEAVES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixture.plan(mixture.sized(df), targets)
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     mixed, shares = mixture.mix(docs(spark, []), targets)

@@ -7,7 +7,8 @@ and only what they cannot take goes up to the parent's siblings. Each leaf then
 takes a prefix, in tokens, of seeded epochs: whole passes over its documents,
 each in its own seeded order, and a part of the last one.
 
-The targets are set on sources, so languages stand below sources here: a
+Sources stand in the domains that a column ``domain`` of the targets names, or
+all in one. The targets are set on sources, so languages stand below sources here: a
 shortage in one language of a source is made up by its other languages first,
 and the source keeps its share.
 
@@ -98,12 +99,15 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     """Budgets of all leaves.
 
     Without ``total_tokens`` the mixture is as large as it can be with every
-    source that has documents still reaching its share.
+    source that has documents still reaching its share. ``domains`` (by the
+    source's name) goes before a column ``domain`` of the targets.
     """
-    wanted = {
-        r[0]: (float(r[1] or 0.0), int(r[2] or 0))
-        for r in targets.groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("target_share"), F.max("max_repeats")).where("s is not null and s <> ''").limit(LEAVES).collect()
-    }
+    domain = F.min("domain") if "domain" in targets.columns else F.lit(None).cast("string")
+    listed = targets.groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("target_share"), F.max("max_repeats"), domain).where("s is not null and s <> ''").limit(LEAVES + 1).collect()
+    if len(listed) > LEAVES:
+        raise ValueError(f"more than {LEAVES} sources")
+    wanted = {r[0]: (float(r[1] or 0.0), int(r[2] or 0)) for r in listed}
+    domains = {r[0]: r[3] for r in listed if r[3] is not None} | (domains or {})
     have = docs.where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0)).groupBy("source", "lang").agg(F.sum("n_tokens").alias("t"))
     got = have.limit(LEAVES + 1).collect()
     if len(got) > LEAVES:
@@ -118,7 +122,7 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     roots: dict[str, Node] = {}
     leaves: list[tuple[str, str, float, int, Node]] = []
     for s, (share, repeats) in sorted(wanted.items()):
-        top = roots.setdefault((domains or {}).get(s, "all"), Node((domains or {}).get(s, "all"), 0.0))
+        top = roots.setdefault(domains.get(s, "all"), Node(domains.get(s, "all"), 0.0))
         node = Node(s, share)
         top.weight += share
         top.children.append(node)
@@ -159,10 +163,10 @@ def mixture(docs: DataFrame, made: Plan, seed: int = 7) -> DataFrame:
     return passes.unionByName(last).select("doc_id", "source", "lang", "epoch", "n_tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 7, total_tokens: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mixture, shares) of ``documents`` for ``targets``."""
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 7, total_tokens: float | None = None, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mixture, shares) of ``documents`` for ``targets``, which may have a column ``domain``."""
     docs = sized(documents, vocabulary)
-    made = plan(docs, targets, total_tokens)
+    made = plan(docs, targets, total_tokens, domains)
     mixed = mixture(docs, made, seed)
     return mixed, shares(mixed, docs, made)
 
