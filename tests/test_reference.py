@@ -167,6 +167,17 @@ def test_hash_and_group_splits(spark):
     assert split.shuffled_folds(df, "id", 4).select("fold").distinct().count() == 4
 
 
+def test_group_folds_of_very_many_groups(spark):
+    """100,500 groups, one of them a third of all rows: it gets a fold that takes nothing else."""
+    df = spark.range(150_750).select(F.when(F.col("id") < 50_251, -1).when(F.col("id") < 50_300, None).otherwise(F.col("id")).alias("g"))
+    got = split.group_folds(df, "g", 3)
+    sizes = {r[0]: r[1] for r in got.groupBy("fold").count().collect()}
+    assert sum(sizes.values()) == 150_750 and max(sizes.values()) - min(sizes.values()) <= 60
+    assert got.where("g = -1 or g is null").select("g", "fold").distinct().count() == 2
+    with pytest.raises(ValueError):
+        split.group_folds(df.where("g = -1"), "g", 3)
+
+
 def test_metrics_and_ranks(spark):
     rows = list(zip("aabbcc", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0], [0.0, 2.0, 1.0, 3.0, 5.0, 4.0]))
     df = spark.createDataFrame(rows, "v string, y double, p double")

@@ -11,8 +11,13 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewright.session import stage
+
 PARTS = ("train", "validation", "test")
 
+#: Groups placed in folds singly, and hash ranges that hold the others.
+LARGEST, FOLD_RANGES = 100_000, 1024
+
 
 def ranked(df: DataFrame, entity: str, order: Column, bucket: Column) -> DataFrame:
     """``df`` plus rn (from 1, by ``order``) and n (rows of the entity).
@@ -70,22 +75,33 @@ def hashed(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) ->
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """``df`` plus fold: groups stay whole, the largest go to the emptiest fold.
 
-    Group sizes (one row for each group) are balanced on the driver.
+    One rule at every size: the LARGEST largest groups are balanced on the
+    driver by their sizes. Each other group holds at most one LARGEST-th of the
+    rows; those are gathered in hash ranges, which are balanced after them.
     """
-    if df.select(group).distinct().limit(100_001).count() > 100_000:
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-    sizes = sorted(((r[1], r[0]) for r in df.groupBy(group).agg(F.count("*")).collect()), key=lambda s: (-s[0], str(s[1])))
-    if len(sizes) < folds:
-        raise ValueError(f"{len(sizes)} groups cannot make {folds} folds")
+    sizes = stage(df.groupBy(group).agg(F.count("*").alias("_n")))
+    top = [(r[0], r[1]) for r in sizes.orderBy(F.desc("_n"), F.col(group).cast("string")).limit(LARGEST).collect()]
+    if len(top) < folds:
+        raise ValueError(f"{len(top)} groups cannot make {folds} folds")
     load = [0] * folds
-    rows = []
-    for n, g in sizes:
+
+    def emptiest(n: int) -> int:
         f = min(range(folds), key=lambda i: (load[i], i))
         load[f] += n
-        rows.append((g, f))
-    kind = dict(df.dtypes)[group]
-    at = df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, fold int")
-    return df.join(F.broadcast(at), group)  # at most 100,000 rows
+        return f
+
+    at = df.sparkSession.createDataFrame([(g, emptiest(n)) for g, n in sorted(top, key=lambda s: (-s[1], str(s[0])))], f"_g {dict(df.dtypes)[group]}, _f int")
+    at = F.broadcast(at)  # at most LARGEST rows
+    own = F.col(group).eqNullSafe(F.col("_g"))
+    bucket = F.pmod(F.xxhash64(group), F.lit(FOLD_RANGES)).cast("int")
+    rest = sizes.join(at, own, "left_anti").groupBy(bucket.alias("b")).agg(F.sum("_n")).collect()  # at most FOLD_RANGES rows
+    ranges = [0] * FOLD_RANGES
+    for b, n in sorted(rest, key=lambda s: (-s[1], s[0])):
+        ranges[b] = emptiest(n)
+    placed = df.join(at, own, "left")
+    if not rest:
+        return placed.withColumn("fold", F.col("_f")).drop("_g", "_f")
+    return placed.withColumn("fold", F.coalesce("_f", F.element_at(F.array(*[F.lit(f) for f in ranges]), bucket + 1))).drop("_g", "_f")
 
 
 def shuffled_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
