@@ -2,8 +2,8 @@
 
 Method: normalised document vectors (hashed words and word pairs, weighted by
 inverse document frequency) are clustered by bisecting k-means. Each leaf is
-described by its discriminative terms and labelled with subjects by the readers'
-labels of its documents; the leaves' term weights start a mixture model over
+labelled with subjects by the readers' labels of its documents (its
+discriminative terms describe it and decide nothing); these start a mixture over
 sentences, which is sharpened by expectation maximisation in which a labelled
 document's sentences may only treat its own subjects or none. A document's
 sentences are then scored by term weights and its leaf's mixture of subjects,
