@@ -152,6 +152,44 @@ def test_spikes_defined_cases(spark, vessels):
     assert (rows[7][0], "speed_over_ground") in got and not {x for x in got if x[0] in (rows[5][0], rows[6][0])}
 
 
+def test_records_sent_often_count_each(spark, vessels):
+    """A record sent once, twice and five times: every row of it comes out."""
+    rows = series(300)
+    for i in (50, 100, 150):
+        rows[i][5] = 19.0
+    more = [[9000 + j, "alba_1 ", *rows[i][2:]] for j, i in enumerate([100, 150, 150, 150, 150])]
+    assert {x[0] for x in found(spark, rows + more, vessels) if x[1] == "wind_speed"} == {rows[i][0] for i in (50, 100, 150)} | {9000 + j for j in range(5)}
+
+
+def test_every_axis_of_the_ellipsoid_decides():
+    """Leaps of 9.6 to 12 scatters: without the ellipsoid, or without any one axis, the verdicts change."""
+    rng = np.random.default_rng(8)
+    y = 20 + rng.normal(0, 0.1, 12000)
+    planted = np.arange(20, 11980, 60)
+    for n, i in enumerate(planted):
+        y[i : i + 1 + n % 3] += (0.96 + 0.24 * n / len(planted)) * (-1) ** n
+    scale = np.array([1.4826 * np.median(s) for s in spikes.sizes(y, np.ones(len(y), bool), False)[:3]])
+    axes = spikes.ellipsoid(y, scale, 20.0, False)
+    got = spikes.spikes(y, spikes.outside(y, axes), axes)
+    members = sum(1 + n % 3 for n in range(len(planted)))
+    assert got.sum() > 0.7 * members
+    everywhere = [np.full(len(y), 1e-9)] * 3
+    assert (spikes.spikes(y, np.ones(len(y), bool), everywhere) != got).sum() > 500
+    for a in range(3):
+        without = [np.full(len(y), np.inf) if i == a else x for i, x in enumerate(axes)]
+        lost = got & ~spikes.spikes(y, spikes.outside(y, without), without)
+        assert lost.sum() > 20, (a, lost.sum())
+
+
+def test_fuel_is_judged_in_shares_of_its_level():
+    """A tenfold scatter at a low level is a spike though it is small beside the scatter at a high level."""
+    rng = np.random.default_rng(4)
+    y = np.concatenate([np.full(1000, 0.05), np.full(1000, 0.6)]) * (1 + rng.normal(0, 0.015, 2000))
+    y[500] = 0.065
+    scale = np.array([1.4826 * np.median(s) for s in spikes.sizes(y, np.ones(2000, bool), True)[:3]])
+    assert np.flatnonzero(spikes.verdicts(y, scale, 0.61, 3.0, True)).tolist() == [500]
+
+
 def test_stuck_ends_at_nan():
     x = np.array([1.0, 1, 1, 1, 1, np.nan, 1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 0, 0, 0, 0, 0, 0, 0])
     assert spikes.stuck(x).nonzero()[0].tolist() == list(range(11, 17))

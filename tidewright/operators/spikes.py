@@ -1,12 +1,15 @@
 """Implausible spikes in measurements, judged by each source's own behaviour.
 
-Method: phase-space thresholding. For each source and field, robust scales of
-the value about its running median, of its first and of its second differences
-span an ellipsoid whose radius is the universal threshold sqrt(2 ln n). Points
-outside are replaced by interpolation and the test is repeated until no new
-point falls out. A zero-difference run and bounds catch stuck and impossible
-values, and a final exact test keeps those spikes that leap far from the values
-just before and after and return at once.
+Method: phase-space thresholding. A point of a series is its distance from its
+running median, its first and its second difference; robust scales of the three
+(of their median size over the source) are the axes of an ellipsoid, ``RADIUS``
+scales wide. Points outside are replaced by interpolation and the ellipsoid is
+applied again until no new point falls out. Since a spike also throws its
+neighbours and every step out, each run of one to three of those points is
+placed in the same ellipsoid once more, now against the values just before and
+after it, and must return at once. The scatter of fuel grows with its level, so
+its axes are in shares of the level. Zero-difference runs and bounds catch stuck
+and impossible values.
 
 Distribution: rows sent again are merged first, so a hot group of copies
 arrives as one record. Sources are cut into blocks of about ``BLOCK`` records
@@ -14,6 +17,8 @@ by counts of fine time buckets, each block with ``HALO`` records of its
 neighbours, so no task holds a whole source. Blocks are packed once as one row
 each and staged; scales and verdicts are two passes over them without a
 shuffle. Scales come from histograms in steps of 1/16 octave over all records.
+A record sent at most twice carries its row ids along; only verdicts on records
+sent more often are joined back to the rows.
 
 Defined results: null, NaN and stand-in cells are never flagged and end a run
 of equal values; two records of one source and time with other values both
@@ -35,24 +40,36 @@ from tidewright.session import small, stage
 
 FIELDS = ("total_momentary_fuel", "speed_over_ground", "wind_speed", "wave_height")
 
+#: Fields whose scatter is a share of their level.
+PROPORTIONAL = {"total_momentary_fuel"}
+
 #: Records of a block, records of its neighbours on each side, steps of a bucket.
 BLOCK, HALO, BUCKET = 2048, 64, 256
 
-#: Length of the running median; a leap in scales of the source and of its surroundings.
-WINDOW, LEAP, LOCAL_LEAP = 9, 9.0, 5.5
+#: Length of the running median.
+WINDOW = 9
+
+#: Half axes of the ellipsoid in robust scales. A lone value that leaps by L scatters lies
+#: L * sqrt(1 + 4 / 6) out, as a second difference of plain noise is sqrt(6) scatters wide;
+#: a spike leaps by some ten scatters, so the surface is a tenth inside of that. It is
+#: beyond the universal threshold sqrt(2 ln n) at any n.
+RADIUS = 11.5
+
+#: Least scale in shares of the source's upper level, where most values do not scatter at all.
+LEAST_SCALE = 1e-3
 
-#: Successive equal values that make a stuck run.
-STUCK = 6
+#: Least level, in shares of the source's upper level, that an axis is a share of.
+LEAST_LEVEL = 0.02
 
-#: Factors between units that a logger may have sent (knots, km/h, feet, minutes, hours, grams). Fixed values.
-UNIT_FACTORS = (1.943844, 3.6, 3.28084, 60.0, 3600.0, 1000.0)
+#: Longest spike, and successive equal values that make a stuck run.
+LONGEST, STUCK = 3, 6
 
 #: Values above which no sea or wind goes. Fixed values.
 REACH = {"wind_speed": 60.0, "wave_height": 25.0}
 
 _KINDS = ("u", "d1", "d2", "x")
 _OCTAVE = 16
-_ZERO_BIN = -(1 << 12)
+_BINS = 1 << 13
 
 
 # ---- numeric kernels, on one block of one field ------------------------------------------------
@@ -64,11 +81,11 @@ def running_median(y: np.ndarray, width: int = WINDOW) -> np.ndarray:
     n = len(y)
     if n == 0:
         return y
-    pad = np.concatenate([np.full(h, np.nan), y, np.full(h, np.nan)])
-    win = np.lib.stride_tricks.sliding_window_view(pad, width)
     out = np.empty(n)
-    out[:] = np.median(win, axis=1)
-    for i in [*range(min(h, n)), *range(max(0, n - h), n)]:
+    if n >= width:
+        win = np.lib.stride_tricks.sliding_window_view(y, width)
+        out[h : n - h] = np.partition(win, h, axis=1)[:, h]
+    for i in [*range(min(h, n)), *range(max(h, n - h), n)]:
         out[i] = np.median(y[max(0, i - h) : i + h + 1])
     return out
 
@@ -83,16 +100,20 @@ def phase_space(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, d1, d2
 
 
-def outside_ellipsoid(y: np.ndarray, scale: np.ndarray, n_source: float, rounds: int = 6) -> np.ndarray:
-    """Points that fall out of the robust ellipsoid, iteratively."""
+def ellipsoid(y: np.ndarray, scale: np.ndarray, upper: float, proportional: bool) -> list[np.ndarray]:
+    """Half axes at each point: robust scales of the source, for a proportional field times the course."""
+    if proportional:
+        level = np.maximum(running_median(y), LEAST_LEVEL * upper)
+        return [RADIUS * max(s, LEAST_SCALE) * level for s in scale]
+    return [np.full(len(y), RADIUS * max(s, LEAST_SCALE * upper, 1e-12)) for s in scale]
+
+
+def outside(y: np.ndarray, axes: list[np.ndarray], rounds: int = 8) -> np.ndarray:
+    """Points that fall out of the ellipsoid, iteratively."""
     out = np.zeros(len(y), bool)
-    if len(y) < 3:
-        return out
-    radius = np.sqrt(2 * np.log(max(n_source, 8.0)))
-    axes = [max(s, 1e-12) * radius for s in scale[:3]]
     work = y.copy()
     at = np.arange(len(y))
-    for _ in range(rounds):
+    for _ in range(rounds if len(y) > 2 else 0):
         far = sum((c / a) ** 2 for c, a in zip(phase_space(work), axes)) > 1
         far &= ~out
         if not far.any():
@@ -104,47 +125,42 @@ def outside_ellipsoid(y: np.ndarray, scale: np.ndarray, n_source: float, rounds:
     return out
 
 
-def leaps(y: np.ndarray, candidate: np.ndarray, scale: float) -> np.ndarray:
-    """Runs of one to three candidates that leap from both sides' values and return at once."""
+def spikes(y: np.ndarray, far: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+    """Runs of one to three points of ``far`` that lie outside when all else is on its course, and return at once.
+
+    A run's course is the line between the values before and after it: its
+    coordinates are the leap from the line, the line's slope, and twice the
+    leap. It returns at once if the two values differ by less than half of the
+    leap and each continues the values next to it, so that the ends of ramps,
+    slow-downs and steps are none.
+    """
     n = len(y)
     out = np.zeros(n, bool)
-    if n < 3:
+    if not far.any():
         return out
-    course = np.abs(y - running_median(y))
-    local = 1.4826 * _local_median(course)
-    pad = np.concatenate([np.full(4, np.nan), y, np.full(7, np.nan)])
-    g = lambda k: pad[4 + k : 4 + k + n]  # noqa: E731  y shifted by k
+    start = np.flatnonzero(far)
+    pad = np.concatenate([np.full(3, np.nan), y, np.full(LONGEST + 2, np.nan)])
+    isfar = np.concatenate([far, np.zeros(LONGEST, bool)])
     with np.errstate(invalid="ignore"):
-        for k in (1, 2, 3):
+        for k in range(1, LONGEST + 1):
+            i = start[isfar[start[:, None] + np.arange(k)].all(1)]
+            g = lambda j: pad[3 + i + j]  # noqa: E731,B023  y shifted by j
             before, after = g(-1), g(k)
-            lo, hi = np.minimum(before, after), np.maximum(before, after)
-            up, down, over, under = (np.full(n, np.inf) for _ in range(4))
-            member = np.ones(n, bool)
-            for j in range(k):
-                line = before + (after - before) * (j + 1) / (k + 1)
-                up, down = np.minimum(up, g(j) - line), np.minimum(down, line - g(j))
-                over, under = np.minimum(over, g(j) - hi), np.minimum(under, lo - g(j))
-                member &= np.concatenate([(candidate & (course >= LEAP * scale))[j:], np.zeros(j, bool)])
-            leap = np.maximum(up, down)
-            member &= np.maximum(over, under) > leap / 2
-            # the course next to the run: a ramp or a slow-down is none
+            slope = (after - before) / (k + 1)
+            run = np.stack([g(j) for j in range(k)])
+            off = run - (before + slope * np.arange(1, k + 1)[:, None])
+            leap = np.maximum(off.min(0), (-off).min(0))  # of the member nearest to the line, all on one side
+            beyond = np.maximum(run.min(0) - np.maximum(before, after), np.minimum(before, after) - run.max(0))
+            radius = (leap / axes[0][i]) ** 2 + (slope / axes[1][i]) ** 2 + (2 * leap / axes[2][i]) ** 2
             left = np.fmin(np.abs(before - g(-2)), np.abs(before - g(-3)) / 2)
             right = np.fmin(np.abs(after - g(k + 1)), np.abs(after - g(k + 2)) / 2)
             steady = np.fmax(np.nan_to_num(left), np.nan_to_num(right)) < leap / 2
-            hit = member & (leap >= LEAP * scale) & (leap >= LOCAL_LEAP * local) & (np.abs(after - before) < leap / 2) & steady
+            hit = i[(leap > 0) & (radius > 1) & (beyond > leap / 2) & (np.abs(after - before) < leap / 2) & steady]
             for j in range(k):
-                out[j:] |= hit[: n - j]
+                out[hit + j] = True
     return out
 
 
-def _local_median(a: np.ndarray, width: int = 41) -> np.ndarray:
-    if len(a) <= width:
-        return np.full(len(a), np.median(a) if len(a) else 0.0)
-    mid = np.median(np.lib.stride_tricks.sliding_window_view(a, width), axis=1)
-    h = width // 2
-    return np.concatenate([np.full(h, mid[0]), mid, np.full(len(a) - h - len(mid), mid[-1])])
-
-
 def stuck(x: np.ndarray) -> np.ndarray:
     """Members of runs of at least STUCK equal values other than 0; NaN ends a run."""
     n = len(x)
@@ -155,30 +171,7 @@ def stuck(x: np.ndarray) -> np.ndarray:
     return (np.bincount(run)[run] >= STUCK) & (x != 0) & ~np.isnan(x)
 
 
-def other_unit(y: np.ndarray, scale: float, longest: int = 60) -> np.ndarray:
-    """Stretches between a leap up and the leap back whose level is a unit factor above both sides."""
-    n = len(y)
-    out = np.zeros(n, bool)
-    if n < 6:
-        return out
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = y[1:] / y[:-1]
-    jump = np.diff(y)
-    ups = np.flatnonzero((ratio > 1.5) & (jump > 2 * LEAP * scale) & (y[:-1] > 0)) + 1
-    downs = np.flatnonzero((ratio < 1 / 1.5) & (-jump > 2 * LEAP * scale)) + 1
-    for i in ups:
-        for j in downs[(downs > i + 3) & (downs <= i + longest)]:
-            base = np.median(np.concatenate([y[max(0, i - 4) : i], y[j : j + 4]]))
-            factor = np.median(y[i:j]) / base if base > 0 else 0
-            # one step makes the whole change, up and back; a ramp takes several
-            steps = (y[i] / y[i - 1] / factor, y[j - 1] / y[j] / factor) if factor and y[j] else (0, 0)
-            if any(abs(factor / f - 1) < 0.06 for f in UNIT_FACTORS) and all(0.85 < s < 1.18 for s in steps) and (y[i:j] > 1.4 * base).all():
-                out[i:j] = True
-                break
-    return out
-
-
-def verdicts(x: np.ndarray, scale: np.ndarray, n_source: float, bound: float) -> np.ndarray:
+def verdicts(x: np.ndarray, scale: np.ndarray, upper: float, bound: float, proportional: bool = False) -> np.ndarray:
     """Which cells of one block and field are implausible. scale: of u, d1, d2."""
     ok = ~np.isnan(x)
     bad = stuck(x)
@@ -186,12 +179,10 @@ def verdicts(x: np.ndarray, scale: np.ndarray, n_source: float, bound: float) ->
         fault = ok & ((x < 0) | (x > bound))
     bad |= fault
     at = np.flatnonzero(ok & ~fault)
-    unit = other_unit(x[at], scale[0])
-    bad[at[unit]] = True
-    at = at[~unit]
     for _ in range(3):  # a spike beside another one shows when that one is out
         y = x[at]
-        hit = leaps(y, outside_ellipsoid(y, scale, n_source), scale[0])
+        axes = ellipsoid(y, scale, upper, proportional)
+        hit = spikes(y, outside(y, axes), axes)
         if not hit.any():
             break
         bad[at[hit]] = True
@@ -202,66 +193,101 @@ def verdicts(x: np.ndarray, scale: np.ndarray, n_source: float, bound: float) ->
 # ---- the distributed part ----------------------------------------------------------------------
 
 
-def _bin(a: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), _ZERO_BIN)
+def _bins(a: np.ndarray) -> np.ndarray:
+    """How many sizes fall into each step of 1/16 octave; the first step holds the zeros."""
+    at = np.zeros(len(a), np.int64)
     some = a > 0
-    out[some] = np.floor(np.log2(a[some]) * _OCTAVE).astype(int)
-    return out
+    at[some] = np.clip(np.floor(np.log2(a[some]) * _OCTAVE).astype(int) + _BINS // 2, 1, _BINS - 1)
+    return np.bincount(at, minlength=_BINS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """(batch row, core mask, arrays of t, rid and the fields) of each packed block."""
+    """(batch, row in it, arrays of the records) of each packed block."""
     for batch in batches:
         lists = batch.column(batch.schema.get_field_index("recs"))
         off = lists.offsets.to_numpy()
         flat = lists.values
-        cols = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("core", "t", "rid", *FIELDS)}
+        cols = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("core", "t", "rid", "last", "k", *FIELDS)}
         for i in range(batch.num_rows):
             a, b = off[i], off[i + 1]
             yield batch, i, {n: c[a:b] for n, c in cols.items()}
 
 
+def sizes(x: np.ndarray, core: np.ndarray, proportional: bool) -> list[np.ndarray]:
+    """Sizes of u, d1, d2 (for a proportional field in shares of the course) and of x, of one block."""
+    u, d1, d2 = phase_space(x)
+    keep = core & ~((x == 0) & (u == 0))  # standing still has no scatter
+    level = np.ones(len(x))
+    if proportional:
+        level = running_median(x)
+        core = keep & (level > 0)
+    else:
+        core = keep
+    return [np.abs(a[core]) / level[core] for a in (u, d1, d2)] + [np.abs(x[keep])]
+
+
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[str, str, str, int], int] = {}
+    total: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for source, t in total.items():
+            f, k, b = np.nonzero(t)
+            cols = [pa.array([source] * len(f)), pa.array([FIELDS[i] for i in f]), pa.array([_KINDS[i] for i in k]), pa.array(b.astype(np.int32)), pa.array(t[f, k, b])]
+            yield pa.RecordBatch.from_arrays(cols, names=["_source", "field", "kind", "bin", "n"])
+        total.clear()
+
     for batch, i, c in _blocks(batches):
         source = batch.column(0)[i].as_py()
-        core_all = c["core"].astype(bool)
-        for f in FIELDS:
+        if source not in total:
+            if len(total) >= 64:
+                yield from flush()
+            total[source] = np.zeros((len(FIELDS), len(_KINDS), _BINS), np.int64)
+        for j, f in enumerate(FIELDS):
             x = c[f].astype(float)
             keep = ~np.isnan(x)
-            x, core = x[keep], core_all[keep]
-            if not len(x):
-                continue
-            u, d1, d2 = phase_space(x)
-            core &= ~((x == 0) & (u == 0))  # standing still has no scatter
-            for kind, a in zip(_KINDS, (np.abs(u), np.abs(d1), np.abs(d2), np.abs(x))):
-                for b, n in zip(*np.unique(_bin(a[core]), return_counts=True)):
-                    key = (source, f, kind, int(b))
-                    total[key] = total.get(key, 0) + int(n)
-    cols = list(zip(*[(*k, n) for k, n in total.items()])) or [()] * 5
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["_source", "field", "kind", "bin", "n"]
-    )
+            if keep.any():
+                for kind, a in enumerate(sizes(x[keep], c["core"][keep].astype(bool), f in PROPORTIONAL)):
+                    total[source][j, kind] += _bins(a)
+    yield from flush()
+
+
+_FOUND = "row_id long, field_name string, _source string, time_index long, " + ", ".join(f"{f} double" for f in FIELDS)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row ids of implausible cells; without one, the record itself if it was sent more than twice."""
+    last, out = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if out:
+            cols = [np.concatenate(p) for p in zip(*out)]
+            out.clear()
+            many = cols[0] < 0
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * len(FIELDS))
+            names = ["row_id", "field_name", "_source", "time_index", *FIELDS]
+            hidden = [many, np.zeros(len(many), bool), *[~many] * (2 + len(FIELDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t, mask=h) for v, t, h in zip(cols, kinds, hidden)], names=names)
+
     for batch, i, c in _blocks(batches):
+        if batch is not last:
+            yield from flush()
+            last = batch
         get = lambda n: batch.column(batch.schema.get_field_index(n))[i].as_py()  # noqa: E731,B023
-        stats = {s["field"]: s for s in get("stats") or []}
-        design = get("_design_speed")
+        stats = {(s["field"], s["kind"]): s["level"] for s in get("stats") or []}
+        design, source = get("_design_speed"), get("_source")
         core = c["core"].astype(bool)
         for f in FIELDS:
-            s = stats.get(f)
-            if s is None:
+            if (f, "x") not in stats:
                 continue
-            x = c[f].astype(float)
-            bad = verdicts(x, np.array([s["u"], s["d1"], s["d2"]]), s["n"], _bound(f, s["x"], design)) & core
-            if bad.any():
-                at = np.flatnonzero(bad)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([get("_source")] * len(at)), pa.array(c["t"][at].astype(np.int64)), pa.array(c["rid"][at].astype(np.int64)), pa.array([f] * len(at))],
-                    names=["_source", "_t", "_rid", "field_name"],
-                )
+            upper = stats[f, "x"]
+            scale = np.array([stats.get((f, k), 0.0) for k in _KINDS[:3]])
+            at = np.flatnonzero(verdicts(c[f].astype(float), scale, upper, _bound(f, upper, design), f in PROPORTIONAL) & core)
+            once, twice, more = (at[m] for m in (c["k"][at] == 1, c["k"][at] == 2, c["k"][at] > 2))
+            rec = np.concatenate([once, twice, twice, more])
+            rid = np.concatenate([c["rid"][once], c["rid"][twice], c["last"][twice], np.full(len(more), -1)]).astype(np.int64)
+            if len(rec):
+                out.append([rid, np.full(len(rec), f, object), np.full(len(rec), source, object), c["t"][rec].astype(np.int64), *[c[g][rec].astype(float) for g in FIELDS]])
+    yield from flush()
 
 
 def _bound(field: str, q95: float, design: float | None) -> float:
@@ -306,9 +332,9 @@ def packed_blocks(distinct: DataFrame) -> DataFrame:
         ),
         lambda t: t.isNotNull() & (t["blk"] > 0),
     )
-    where = cut.select("_source", "_bk", F.explode(targets).alias("to"))
+    where = small(stage(cut.select("_source", "_bk", F.explode(targets).alias("to"))))
     placed = distinct.withColumn("_bk", F.expr(f"time_index div {BUCKET}")).join(where, ["_source", "_bk"])
-    rec = F.struct(F.col("time_index").alias("t"), F.col("rid"), F.col("to.core").alias("core"), *FIELDS)
+    rec = F.struct(F.col("time_index").alias("t"), "rid", "last", "k", F.col("to.core").alias("core"), *FIELDS)
     return (
         placed.groupBy("_source", F.col("to.blk").alias("blk"))
         .agg(F.sort_array(F.collect_list(rec)).alias("recs"), F.max("_design_speed").alias("_design_speed"), F.max(F.col("to.core")).alias("real"))
@@ -318,36 +344,35 @@ def packed_blocks(distinct: DataFrame) -> DataFrame:
 
 
 def scales_of(blocks: DataFrame) -> DataFrame:
-    """_source, stats: for each field its robust scales, upper level (q95) and count."""
+    """_source, stats: for each field its robust scales (of u, d1, d2) and upper level (of x, q95)."""
     hist = blocks.select("_source", "recs").mapInArrow(_histograms, "_source string, field string, kind string, bin int, n long")
     hist = hist.groupBy("_source", "field", "kind", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("_source", "field", "kind")
     cum = hist.withColumn("c", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     share = F.when(F.col("kind") == "x", 0.95).otherwise(0.5)
-    at = cum.where(F.col("c") >= share * F.col("all")).groupBy("_source", "field", "kind").agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
-    level = F.when(F.col("bin") == _ZERO_BIN, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / _OCTAVE))
-    level = F.when(F.col("kind") == "x", level).otherwise(level * 1.4826)
-    wide = at.groupBy("_source", "field").pivot("kind", list(_KINDS)).agg(F.first(level).alias("v"))
-    counted = at.where("kind = 'u'").select("_source", "field", "n")
-    return wide.join(counted, ["_source", "field"]).groupBy("_source").agg(F.collect_list(F.struct("field", *_KINDS, "n")).alias("stats"))
+    at = cum.where(F.col("c") >= share * F.col("all")).groupBy("_source", "field", "kind").agg(F.min("bin").alias("bin"))
+    level = F.when(F.col("bin") == 0, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") - _BINS // 2 + 0.5) / _OCTAVE))
+    level = level * F.when(F.col("kind") == "x", 1.0).otherwise(1.4826)
+    return at.groupBy("_source").agg(F.collect_list(F.struct("field", "kind", level.alias("level"))).alias("stats"))
 
 
 def implausible_cells(records: DataFrame, vessels: DataFrame) -> DataFrame:
     """(row_id, field_name) of each implausible cell of ``records``."""
     rows = records_of(records, vessels)
-    distinct = rows.where("time_index is not null").groupBy("_source", "time_index", *FIELDS).agg(F.min("row_id").alias("rid"), F.max("_design_speed").alias("_design_speed"))
-    distinct = stage(distinct)
-    blocks = stage(packed_blocks(distinct))
-    judged = blocks.join(small(scales_of(blocks)), "_source").select("_source", "_design_speed", "stats", "recs")
-    found = judged.mapInArrow(_judge, "_source string, _t long, _rid long, field_name string")
-    # from records back to all of their rows: equal in source, time and every field
-    keys = distinct.join(found, (distinct._source == found._source) & (distinct.time_index == found._t) & (distinct.rid == found._rid)).select(
-        distinct._source, distinct.time_index, *[distinct[f] for f in FIELDS], "field_name"
-    )
-    r, k = rows.alias("r"), keys.alias("k")
+    distinct = rows.where("time_index is not null").groupBy("_source", "time_index", *FIELDS).agg(
+        F.min("row_id").alias("rid"), F.max("row_id").alias("last"), F.count("*").alias("k"), F.max("_design_speed").alias("_design_speed")
+    )
+    blocks = stage(packed_blocks(stage(distinct)))
+    judged = blocks.join(small(stage(scales_of(blocks))), "_source").select("_source", "_design_speed", "stats", "recs")
+    found = stage(judged.mapInArrow(_judge, _FOUND))
+    undated = rows.where("time_index is null").select("row_id", F.explode(F.array(*[F.when(F.col(f) < 0, F.lit(f)) for f in FIELDS])).alias("field_name")).where("field_name is not null")
+    out = found.where("row_id is not null").select("row_id", "field_name").unionByName(undated)
+    often = found.where("row_id is null")
+    if often.isEmpty():
+        return out
+    # records sent three times or more: back to all of their rows, equal in source, time and every field
+    r, k = rows.alias("r"), small(often).alias("k")
     same = (F.col("r._source") == F.col("k._source")) & (F.col("r.time_index") == F.col("k.time_index"))
     for f in FIELDS:
         same = same & F.col(f"r.{f}").eqNullSafe(F.col(f"k.{f}"))
-    dated = r.join(k, same).select("r.row_id", "k.field_name")
-    undated = rows.where("time_index is null").select("row_id", F.explode(F.array(*[F.when(F.col(f) < 0, F.lit(f)) for f in FIELDS])).alias("field_name")).where("field_name is not null")
-    return dated.unionByName(undated)
+    return out.unionByName(r.join(k, same).select("r.row_id", "k.field_name"))
