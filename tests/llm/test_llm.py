@@ -1,6 +1,7 @@
 """Text operators: exact encodings, budgets, shares, subjects, edge cases."""
 
 import base64
+import re
 
 import numpy as np
 import pytest
@@ -131,12 +132,83 @@ def test_labelled_documents_count_whole(spark):
     """Two subjects one after the other: the second begins after sentence 200."""
     long = " ".join([f"The rain fell on deck {i}." for i in range(210)] + [f"The dust lay in hold {i}." for i in range(90)])
     df = docs(spark, [(i, long, "en", "s") for i in range(3)])
-    vecs, idf = subjects.vectors(df)
+    lists = subjects.term_lists(df)
+    idf = subjects.frequencies(lists)
     labels = spark.createDataFrame([(i, s) for i in range(3) for s in ("wet", "dry")], "doc_id long, subject string")
-    sample = subjects.labelled_sample(df, idf, subjects.bisect(vecs), labels)
+    sample = subjects.labelled_sample(df, idf, subjects.bisect(subjects.vectors(lists, idf), 8), labels)
     assert [len(r.s) for r in sample] == [300] * 3 and all("dust" in r.s[-1] for r in sample)
 
 
+def test_hashes_equal_a_plain_reading():
+    """Words, pairs and runs of five characters of each line, equal texts alike, whatever stands beside them."""
+    lines = ["The cat", "a  dog_ran 12", "", "x", "Öl für\u2003Pumpe", "the CAT!", "a dog ran 7", "-- --", "cat the"]
+
+    def plain(s):
+        ws = [w for w in re.split(r"[\W_]+", re.sub("[0-9]+", "0", s.lower())) if w]
+        line = f" {' '.join(ws)} " if ws else ""
+        return ws, list(zip(ws, ws[1:])), [line[i : i + 5] for i in range(len(line) - 4)]
+
+    h = subjects.hashes(lines)
+    for got, of, at in ((h.word, h.of_word, 0), (h.pair, h.of_pair, 1), (h.run, h.of_run, 2)):
+        want = [(i, x) for i, s in enumerate(lines) for x in plain(s)[at]]
+        assert of.tolist() == [i for i, _ in want]
+        assert len(set(got.tolist())) == len({x for _, x in want}) == len(set(zip(got.tolist(), [x for _, x in want])))
+    assert [len(x) for x in vars(subjects.hashes(["", "--"])).values()] == [0] * 6
+    assert list(subjects.pieces(["aa", "b" * 9, "c", "d"], 3)) == [(0, 1), (1, 2), (2, 4)] and list(subjects.pieces([])) == []
+
+
+def test_subjects_do_not_depend_on_layout(spark, sf):
+    """The same rows for 1, 4 and 16 partitions and for small and large batches."""
+    d = sf.replace("sf0.001", "sf0.01")
+    documents, labels, names = (table(spark, d, t) for t in ("documents", "doc_labels", "subjects"))
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for parts, batch in ((1, 10_000), (4, 100), (16, 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            got.append({tuple(r) for r in subjects.treated(documents.repartition(parts), labels, names).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_leaves_decide_with_few_labels(spark, sf):
+    """From 60 labelled documents: leaves labelled by their telling words against leaves that tell nothing."""
+    d = sf.replace("sf0.001", "sf0.1")
+    documents, labels, names = (table(spark, d, t) for t in ("documents", "doc_labels", "subjects"))
+    known = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").cache()
+    want = {(r.doc_id, r.subject) for r in labels.where("subject <> 'none'").collect()}
+
+    def rows():
+        return {tuple(r) for r in subjects.treated(known, labels.where("doc_id % 33 = 0"), names).collect()}
+
+    def quality(got):
+        return 2 * len(got & want) / (len(got) + len(want))
+
+    with_leaves = rows()
+    label = subjects.leaf_labels
+    try:
+        subjects.leaf_labels = lambda leaf, subject: np.full_like(label(leaf, subject), 1 / 11)
+        without = rows()
+    finally:
+        subjects.leaf_labels = label
+    assert quality(with_leaves) > max(0.7, quality(without)), (quality(with_leaves), quality(without))
+    assert len(with_leaves ^ without) > 0.05 * len(with_leaves)
+
+
+def test_leaves_are_labelled_by_their_telling_words():
+    counts, docs = np.array([[50.0, 1, 0, 50], [1, 50, 0, 50]]), np.array([50.0, 50])
+    subject = np.array([[0.0, 9, 0, 10], [9, 0, 0, 10], [0, 0, 0, 0]]), np.array([10.0, 10, 0])
+    m = subjects.leaf_labels((counts, docs), subject)
+    assert m[0].argmax() == 1 and m[1].argmax() == 0 and np.allclose(m.sum(1), 1)
+    assert np.allclose(subjects.leaf_labels((np.zeros((1, 4)), np.zeros(1)), subject), 1 / 3)
+
+
+def test_too_many_subjects_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "SUBJECTS", 3)
+    with pytest.raises(ValueError):
+        subjects.treated(docs(spark, [(1, "A b.", "en", "s")]), spark.createDataFrame([(1, "s0")], "doc_id long, subject string"), spark.createDataFrame([(f"s{i}",) for i in range(4)], "subject string"))
+
+
 def test_subjects_defined_cases(spark):
     names = spark.createDataFrame([("wet",), ("dry",)], "subject string")
     none = spark.createDataFrame([], "doc_id long, subject string")

@@ -1,27 +1,34 @@
 """Subject areas of each document: none, one or several.
 
 Method: normalised document vectors (hashed words and word pairs, weighted by
-inverse document frequency) are clustered by bisecting k-means. Each leaf is
-labelled with subjects by the readers' labels of its documents (its
-discriminative terms describe it and decide nothing); these start a mixture over
-sentences, which is sharpened by expectation maximisation in which a labelled
-document's sentences may only treat its own subjects or none. A document's
-sentences are then scored by term weights and its leaf's mixture of subjects,
-and the document treats each subject that a fifth of its sentences are about.
-
-What is fitted on what: document frequencies, vectors and clusters cover all
-documents. The term weights are a classifier on a bounded sample of labelled
-documents (``LABELLED``, the first by a hash of doc_id). All documents are
-scored, over their whole texts.
-
-Distribution: no shuffle of texts; two passes over them (vectors, scoring) and
-passes over 128-byte vectors for the clusters, whose sums per leaf are added up
-by key before the driver gets them (leaves x 129 numbers). The model is a
-fixed-size array (65,536 x 11) sent with the task.
+inverse document frequency) are clustered by bisecting k-means. The words that
+tell a leaf from the corpus are its discriminative terms; they are matched with
+the terms of the subjects (those that labelled documents, titles and scope notes
+hold more than others), which labels each leaf with a mixture of subjects. The
+leaves' words, weighted by these mixtures, are the first weights of a mixture
+over sentences, and a leaf's mixture is the prior of the sentences of its
+documents. Readers' labels calibrate the weights by expectation maximisation in
+which a labelled document's sentences may only treat its own subjects or none. A
+document treats each subject that a fifth of its sentences are about.
+
+What is fitted on what: document frequencies, vectors, clusters, leaf terms and
+subject terms cover all documents and labels. The sentence weights are
+calibrated on a bounded sample of labelled documents (``LABELLED``, the first by
+a hash of doc_id), each with all of its sentences. All documents are scored,
+over their whole texts.
+
+Distribution: no shuffle of texts; two passes over them (term lists, scoring)
+and passes over 128-byte vectors for the clusters. Sums of a pass are added up
+by key before the driver gets them (leaves x 129 numbers, leaves and subjects x
+8,192 counts). Vectors and centres are whole numbers and their sums exact, so
+the leaves do not depend on files, partitions or batches. The model is a
+fixed-size array (65,536 x subjects) sent with the task. Hashes are computed for
+a whole Arrow batch at once.
 
 Defined results: null, empty and blank texts, and texts of tables, dumps and
 code only, treat no subject; equal texts get equal subjects; labels of unknown
-documents or subjects are ignored; without any label there are no rows.
+documents or subjects are ignored; without any label there are no rows; more
+than ``SUBJECTS`` subjects are an error.
 """
 
 from __future__ import annotations
@@ -30,25 +37,31 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewright.session import stage
+from tidewright.session import small, stage
 
-#: Labelled documents the term weights are fitted on, each with all of its sentences.
-LABELLED = 6000
+#: Labelled documents the sentence weights are calibrated on, each with all of its sentences.
+LABELLED = 2000
 
 #: Share of a document's sentences that must be about a subject.
 TREATS = 0.2
 
-#: Size of document vectors, of term weights; levels of bisection; smallest leaf to split.
-DIM, TERMS, LEVELS, SPLITTABLE = 128, 1 << 16, 5, 200
+#: Size of document vectors, of term weights, of leaf terms; most subjects.
+DIM, TERMS, WORDS, SUBJECTS = 128, 1 << 16, 1 << 13, 1000
 
-#: Weight of the leaf's mixture beside the terms.
-LEAF_WEIGHT = 0.5
+#: Leaves for each subject, and the fewest documents a leaf is split from.
+LEAVES_A_SUBJECT, SPLITTABLE = 8, 8
+
+#: Discriminative terms of a leaf, and labelled documents that a title and scope note count as.
+TELLING, TITLE = 60, 20.0
+
+#: Weight of the leaf's mixture beside the terms; first score of "about nothing" beside the leaves' words;
+#: rounds of calibration, and those of them on all terms.
+LEAF_WEIGHT, START, ROUNDS, FULL = 0.5, -0.5, 12, 3
 
 NONE = "none"
 
@@ -122,21 +135,97 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]")
 _DIGITS = re.compile(r"[0-9]+")
 
+# ---- hashes of many sentences at once ----------------------------------------------------------
+
+_KIND = np.zeros(0x110000, np.int8)  # of a character: 0 not looked up yet, 1 of a word, 2 other
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """63-bit hashes whose bits all depend on all bits of ``h``."""
+    h = (h ^ (h >> np.uint64(30))) * _M2
+    h = (h ^ (h >> np.uint64(27))) * _M3
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
 
-def words(sentence: str) -> list[str]:
-    return _WORD.findall(_DIGITS.sub("0", sentence.lower()))
 
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(max(n, 1), _M1))
 
-def terms(ws: list[str]) -> np.ndarray:
-    """Hashed words, word pairs and runs of five characters of a sentence, each once."""
-    line = f" {' '.join(ws)} "
-    found = {"w" + w for w in ws}
-    found.update(a + "\0" + b for a, b in zip(ws, ws[1:]))
-    found.update(line[i : i + 5] for i in range(len(line) - 4))
-    return np.fromiter((crc32(t.encode()) & (TERMS - 1) for t in found), np.int32, len(found))
+
+@dataclass
+class Hashes:
+    """Hashes and the sentence each belongs to: of words, of pairs of words, of runs of five characters."""
+
+    word: np.ndarray
+    of_word: np.ndarray
+    pair: np.ndarray
+    of_pair: np.ndarray
+    run: np.ndarray
+    of_run: np.ndarray
+
+
+def hashes(lines: list[str], runs: bool = True) -> Hashes:
+    """Case does not count, a number counts as 0, and what is no letter or digit separates words."""
+    text = _DIGITS.sub("0", "\n".join(lines).lower())
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    new = _KIND[code] == 0
+    if new.any():
+        for c in np.unique(code[new]).tolist():
+            _KIND[c] = 1 if _WORD.match(chr(c)) else 2
+    inside = np.concatenate([[False], _KIND[code] == 1, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    none = np.zeros(0, np.int64)
+    if not len(start):
+        return Hashes(none, none, none, none, none, none)
+    line = np.searchsorted(np.flatnonzero(code == 10), start)
+    chars = code[inside[1:-1]].astype(np.uint64)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    raw = np.add.reduceat(chars * _powers(int(size.max()))[np.arange(len(chars)) - np.repeat(first, size)], first)
+    word = _mixed(raw)
+    next_to = np.flatnonzero(line[1:] == line[:-1])
+    pair = _mixed(raw[next_to] * _M3 + raw[next_to + 1] + np.uint64(1))
+    run, of_run = none, none
+    if runs:
+        # " one two three four " of each line; the blank before the next line closes this one
+        seq = np.full(len(chars) + len(size) + 5, 32, np.uint64)
+        seq[np.arange(len(chars)) + np.repeat(np.arange(len(size)) + 1, size)] = chars
+        of = np.concatenate([np.repeat(line, size + 1), np.full(5, -1)])
+        lead = np.zeros(len(seq), bool)
+        lead[(first + np.arange(len(size)))[np.concatenate([[True], line[1:] != line[:-1]])]] = True
+        lead[len(chars) + len(size)] = True
+        n = len(seq) - 4
+        # the fifth character is of the same line or the blank that closes it
+        fits = ((of[4:] == of[:n]) | (lead[4:] & (of[3 : n + 3] == of[:n]))) & (of[:n] >= 0)
+        p = _powers(5)
+        at = np.flatnonzero(fits)
+        run = _mixed(sum(seq[at + k] * p[k] for k in range(5)) + np.uint64(2))
+        of_run = of[at]
+    return Hashes(word, line, pair, line[next_to], run, of_run)
+
+
+def pieces(lines: list[str], characters: int = 250_000) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that are hashed at once: of at most so many characters, or one line."""
+    a, total = 0, 0
+    for i, s in enumerate(lines):
+        if i > a and total + len(s) > characters:
+            yield a, i
+            a, total = i, 0
+        total += len(s)
+    if a < len(lines):
+        yield a, len(lines)
+
+
+def row_sums(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their key, which does not fall."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(key):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out[key[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
 
 
 # ---- document vectors --------------------------------------------------------------------------
@@ -144,29 +233,56 @@ def terms(ws: list[str]) -> np.ndarray:
 _TABLE = 1 << 14
 
 
-def _doc_terms(text: str | None) -> np.ndarray:
-    """Hashes of the distinct words and word pairs of a text."""
-    found: set[str] = set()
-    for s in sentences(text):
-        ws = words(s)
-        found.update(ws)
-        found.update(a + " " + b for a, b in zip(ws, ws[1:]))
-    return np.fromiter((crc32(t.encode()) for t in found), np.int64, len(found))
+def _distinct(lines: list[str], doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, sizes, words, sizes): 31-bit hashes of the distinct words and pairs, and distinct words below WORDS, of each document."""
+    terms, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in pieces(lines):
+        h = hashes(lines[a:b], runs=False)
+        of_word, of_pair = doc[a:b][h.of_word], doc[a:b][h.of_pair]
+        terms += [of_word << 31 | h.word & 0x7FFFFFFF, of_pair << 31 | h.pair & 0x7FFFFFFF]
+        words.append(of_word * WORDS + word_number(h))
+    t, w = np.unique(np.concatenate(terms)), np.unique(np.concatenate(words))
+    return t & 0x7FFFFFFF, np.bincount(t >> 31, minlength=docs), w % WORDS, np.bincount(w // WORDS, minlength=docs)
+
+
+def word_number(h: Hashes) -> np.ndarray:
+    return h.word >> 31 & (WORDS - 1)
 
 
-def _term_lists(documents: DataFrame) -> DataFrame:
+def _sentences_of(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """(sentences, document of each) of a batch of texts."""
+    lists = [sentences(t) for t in texts]
+    return [s for x in lists for s in x], np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _parts(batch: pa.RecordBatch, characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many bytes of text, or one text."""
+    size = np.array([len(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+    a, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > a and total + n > characters:
+            yield batch.slice(a, i - a)
+            a, total = i, 0
+        total += n
+    if a < len(size):
+        yield batch.slice(a)
+
+
+def term_lists(documents: DataFrame) -> DataFrame:
+    """doc_id, t (hashes of distinct words and pairs) and w (of distinct words, below WORDS)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [_doc_terms(t) for t in b.column(0).to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *lists])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array((flat & 0x7FFFFFFF).astype(np.int32)))], names=["t"])
+        for b in (p for b in batches for p in _parts(b)):
+            lines, doc = _sentences_of(b.column(1).to_pylist())
+            t, n_t, w, n_w = _distinct(lines, doc, b.num_rows)
+            cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v.astype(np.int32))) for v, n in ((t, n_t), (w, n_w))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "t", "w"])
 
-    return documents.select("text").mapInArrow(run, "t array<int>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, t array<int>, w array<int>")
 
 
 def _embedded(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors, as signed bytes, of documents given by their terms' hashes, one after the other."""
+    """Unit vectors, as whole numbers up to 127, of documents given by their terms, one after the other."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = (flat >> 15) & (DIM - 1)
     sign = np.where((flat >> 24) & 1, 1.0, -1.0)
@@ -175,48 +291,50 @@ def _embedded(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarra
     return np.round(x * 127).astype(np.int8)
 
 
-def _leaves(texts: list[str | None], idf: np.ndarray, tree: "Tree") -> np.ndarray:
-    """The leaf of each text, from the same vector that was clustered."""
-    lists = [_doc_terms(t) & 0x7FFFFFFF for t in texts]
-    x = _embedded(np.concatenate([np.zeros(0, np.int64), *lists]), np.array([len(t) for t in lists], np.int64), idf)
-    return tree.leaf(x.astype(np.float32))
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy().astype(np.int64))
 
 
-def vectors(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(v, idf): the unit vector of each document as 128 signed bytes, staged, and
-    the inverse document frequencies of hashed terms.
+def _summed_by_key(df: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums) of what ``run`` yields from the batches of a partition: whole numbers, so the order of adding does not count."""
+    got = df.mapInArrow(run, "k long, s long").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
+    return got["k"].to_numpy(), got["s"].to_numpy()
+
+
+def _counts(total: np.ndarray) -> pa.RecordBatch:
+    k = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k].astype(np.int64))], names=["k", "s"])
 
-    A document without words has the zero vector.
-    """
-    lists = stage(_term_lists(documents))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(_TABLE), 0
+def frequencies(lists: DataFrame) -> np.ndarray:
+    """Inverse document frequencies of hashed terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_TABLE + 1, np.int64)
         for b in batches:
-            n += b.num_rows
-            df += np.bincount(b.column(0).flatten().to_numpy() & (_TABLE - 1), minlength=_TABLE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, _TABLE, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], names=["k", "v"])
-
-    got = lists.mapInArrow(count, "k int, v double").groupBy("k").agg(F.sum("v")).collect()
-    df, n = np.zeros(_TABLE), 1.0
-    for k, v in got:  # _TABLE + 1 numbers
-        if k < 0:
-            n = max(v, 1.0)
-        else:
-            df[k] = v
-    idf = np.log((n + 1) / (df + 1)).clip(0)
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total[:-1] += np.bincount(b.column(0).flatten().to_numpy() & (_TABLE - 1), minlength=_TABLE)
+            total[-1] += b.num_rows
+        yield _counts(total)
+
+    k, s = _summed_by_key(lists.select("t"), run)
+    df = np.zeros(_TABLE + 1)
+    df[k] = s
+    return np.log((df[-1] + 1) / (df[:-1] + 1)).clip(0)
+
+
+def vectors(lists: DataFrame, idf: np.ndarray) -> DataFrame:
+    """doc_id, w and v, the unit vector of each document as 128 signed bytes, staged; zero without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(0)
-            q = _embedded(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy().astype(np.int64)), idf)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in q], pa.binary())], names=["v"])
+            q = _embedded(*_lists(b.column(1)), idf)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in q], pa.binary())], names=["doc_id", "w", "v"])
 
-    return stage(lists.mapInArrow(embed, "v binary")), idf
+    return stage(lists.mapInArrow(run, "doc_id long, w array<int>, v binary"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIM).astype(np.float64)
 
 
 # ---- bisecting k-means -------------------------------------------------------------------------
@@ -224,80 +342,170 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Binary tree of centres: ``split[node]`` = the centres of its two children, 2n+1 and 2n+2."""
+    """Binary tree of cuts: a vector x of leaf n goes to leaf 2n+2 if x . cut[n][0] > cut[n][1], else to 2n+1.
 
-    split: dict[int, tuple[np.ndarray, np.ndarray]]
+    All are whole numbers small enough for exact floating-point products.
+    """
+
+    cut: dict[int, tuple[np.ndarray, float]]
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), np.int64)
-        for _ in range(LEVELS + 1):
-            for node in np.unique(at):
-                if int(node) in self.split:
-                    a, b = self.split[int(node)]
-                    m = at == node
-                    at[m] = 2 * node + 1 + (x[m] @ (b - a) > (b @ b - a @ a) / 2)
+        todo = [0] if self.cut else []
+        while todo:
+            n = todo.pop()
+            m = np.flatnonzero(at == n)
+            if n in self.cut:
+                a, c = self.cut[n]
+                at[m] = 2 * n + 1 + (x[m] @ a > c)
+                todo += [k for k in (2 * n + 1, 2 * n + 2) if k in self.cut]
         return at
 
 
-def bisect(vecs: DataFrame, levels: int = LEVELS, rounds: int = 3) -> Tree:
-    """Split every leaf of at least SPLITTABLE documents in two, level by level.
+def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """The plane half way between two centres, in 256ths."""
+    a, b = np.round(a * 256), np.round(b * 256)
+    return b - a, float(np.floor(((b @ b) - (a @ a)) / 512))
+
 
-    All leaves of a level are moved in the same passes over the vectors.
+def bisect(vecs: DataFrame, leaves: int, rounds: int = 2) -> Tree:
+    """Split every leaf in two, level by level, until there are ``leaves``; a leaf below SPLITTABLE documents stays.
+
+    A leaf is first cut through its centre across a random direction, then by
+    the planes between its halves' centres. All leaves of a level move in the
+    same passes over the vectors.
     """
     tree = Tree({})
     rng = np.random.default_rng(11)
-    sums = _leaf_sums(vecs, tree, {0: rng.standard_normal(DIM)})
-    for _ in range(levels):
-        big = {n for n in {k // 2 for k in sums} if sum(sums.get(2 * n + s, (0, None))[0] for s in (0, 1)) >= SPLITTABLE}
-        trial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in big:
-            halves = [sums.get(2 * n + s) for s in (0, 1)]
-            if all(h is not None for h in halves):
-                trial[n] = tuple((h[1] / h[0]).astype(np.float32) for h in halves)
+    sums = _leaf_sums(vecs, tree)
+    for _ in range(max(int(leaves) - 1, 1).bit_length()):
+        trial = {}
+        for n in sorted(k for k, (size, _) in sums.items() if size >= SPLITTABLE):
+            r = np.round(rng.standard_normal(DIM) * 256)
+            trial[n] = (r, float(np.floor(sums[n][1] @ r / sums[n][0])))
         if not trial:
             break
         for _ in range(rounds):
-            moved = _leaf_sums(vecs, Tree(tree.split | trial), None)
-            for n in trial:
-                kids = [moved.get(2 * (2 * n + 1 + s)) for s in (0, 1)]
-                if all(k is not None for k in kids):
-                    trial[n] = tuple((k[1] / k[0]).astype(np.float32) for k in kids)
-        tree.split |= trial
-        kids = {2 * n + 1 + s: rng.standard_normal(DIM) for n in trial for s in (0, 1)}
-        sums = _leaf_sums(vecs, tree, kids)
+            sums = _leaf_sums(vecs, Tree(tree.cut | trial))
+            for n in list(trial):
+                kids = [sums.get(2 * n + 1 + s) for s in (0, 1)]
+                if all(kids):
+                    trial[n] = _between(*[k[1] / k[0] for k in kids])
+                else:  # all of its documents are alike
+                    del trial[n]
+        tree.cut |= trial
+        sums = {k: v for k, v in _leaf_sums(vecs, tree).items() if (k - 1) // 2 in trial}
     return tree
 
 
-def _leaf_sums(vecs: DataFrame, tree: Tree, sides: dict[int, np.ndarray] | None) -> dict[int, tuple[float, np.ndarray]]:
-    """{2 * leaf + side: (documents, sum of vectors)}; the side of a random plane
-    through the origin if ``sides`` has one for the leaf, else 0."""
+def _leaf_sums(vecs: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray]]:
+    """{leaf: (documents, sum of vectors)} of documents with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             x = _matrix(b.column(0))
             x = x[np.abs(x).sum(1) > 0]
-            at = tree.leaf(x) * 2
-            for leaf, r in (sides or {}).items():
-                m = at == 2 * leaf
-                y = x[m] @ r.astype(np.float32)
-                at[m] += y > np.median(y) if m.any() else 0
-            for k in np.unique(at):
-                part = np.concatenate([[(at == k).sum()], x[at == k].sum(0, dtype=float)])
-                total[int(k)] = total.get(int(k), 0) + part
+            at = tree.leaf(x)
+            for k in np.unique(at).tolist():
+                m = at == k
+                total[k] = total.get(k, 0) + np.concatenate([[m.sum()], x[m].sum(0)]).astype(np.int64)
         keys = np.array(sorted(total), np.int64)
         at = (keys[:, None] * (DIM + 1) + np.arange(DIM + 1)).ravel()
-        flat = np.concatenate([np.zeros(0), *[total[k] for k in keys.tolist()]])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat)], names=["k", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *[total[k] for k in keys.tolist()]]))], names=["k", "s"])
 
-    got = vecs.select("v").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
     out: dict[int, np.ndarray] = {}
-    for k, s in zip(got["k"].to_numpy(), got["s"].to_numpy()):  # leaves x 129 numbers
+    for k, s in zip(*_summed_by_key(vecs.select("v"), run)):  # leaves x 129 numbers
         out.setdefault(int(k) // (DIM + 1), np.zeros(DIM + 1))[int(k) % (DIM + 1)] = s
-    return {k: (v[0], v[1:]) for k, v in out.items()}
+    return {k: (int(v[0]), v[1:]) for k, v in out.items()}
+
+
+# ---- leaves and their labels -------------------------------------------------------------------
+
+
+def word_counts(vecs: DataFrame, group, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, documents): in how many documents of each group each word occurs, and how many there are.
+
+    ``group`` gives (row, group) pairs of a batch of vecs.
+    """
+    wide = WORDS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups * wide, np.int64)
+        for b in batches:
+            flat, sizes = _lists(b.column(b.schema.get_field_index("w")))
+            rows, g = group(b)
+            n = sizes[rows]
+            at = np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[rows] - (np.cumsum(n) - n), n)
+            total += np.bincount(np.repeat(g, n) * wide + flat[at], minlength=groups * wide)
+            total += np.bincount(g * wide + WORDS, minlength=groups * wide)
+        yield _counts(total)
+
+    k, s = _summed_by_key(vecs, run)
+    out = np.zeros((groups, wide))
+    out.ravel()[k] = s
+    return out[:, :-1], out[:, -1]
+
+
+def leaf_words(vecs: DataFrame, tree: Tree) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(leaves, counts, documents) of word_counts by leaf."""
+    inner = set(tree.cut)
+    leaves = sorted({k for n in inner for k in (2 * n + 1, 2 * n + 2)} - inner) or [0]
+    place = {k: i for i, k in enumerate(leaves)}
+
+    def group(b: pa.RecordBatch):
+        x = _matrix(b.column(b.schema.get_field_index("v")))
+        rows = np.flatnonzero(np.abs(x).sum(1) > 0)
+        return rows, np.array([place[k] for k in tree.leaf(x[rows]).tolist()], np.int64)
+
+    return leaves, *word_counts(vecs, group, len(leaves))
+
+
+def subject_words(vecs: DataFrame, labels: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """word_counts by the subjects readers gave; a document of several counts for each."""
+    at = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("subject")) - 1
+    per_doc = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set(at.cast("int")).alias("g"))
+    got = vecs.select("doc_id", "w").join(small(stage(per_doc)), "doc_id").select("w", "g")
+
+    def group(b: pa.RecordBatch):
+        g, n = _lists(b.column(b.schema.get_field_index("g")))
+        return np.repeat(np.arange(len(n)), n), g
+
+    return word_counts(got, group, len(names))
+
+
+def log_odds(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """How much oftener a word occurs in the documents of a group than in all of them: log of the ratio of shares."""
+    share = (counts.sum(0) + 0.5) / (documents.sum() + 1.0)
+    return np.log((counts + 8 * share) / (documents[:, None] + 8) / share)
+
+
+def telling(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """The TELLING discriminative words of each leaf: those with most documents beyond what their share in the corpus gives."""
+    odds = log_odds(counts, documents)
+    weight = np.where(odds > 0, counts * odds, 0.0)
+    top = np.argsort(-weight, axis=1, kind="stable")[:, :TELLING]
+    out = np.zeros_like(weight)
+    np.put_along_axis(out, top, np.take_along_axis(weight, top, 1), 1)
+    return out
+
+
+def leaf_labels(leaf: tuple[np.ndarray, np.ndarray], subject: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(leaves, subjects): mixture of subjects of each leaf, by its discriminative words.
+
+    A word speaks for the subjects whose documents hold it more often than
+    others do; a leaf's words vote by their weight. A leaf whose words speak
+    for no subject gets equal shares.
+    """
+    tell = telling(*leaf)
+    speaks = np.clip(log_odds(*subject), 0, None).T ** 2  # (words, subjects)
+    speaks /= np.maximum(speaks.sum(1, keepdims=True), 1.0)
+    vote = tell @ speaks
+    total = vote.sum(1, keepdims=True)
+    return np.where(total > 0, vote / np.maximum(total, 1e-12), 1.0 / vote.shape[1])
 
 
-# ---- labels, leaves and term weights -----------------------------------------------------------
+# ---- sentence weights, calibrated by labels ----------------------------------------------------
 
 
 @dataclass
@@ -305,40 +513,49 @@ class Model:
     subjects: list[str]  # the last is NONE
     weights: np.ndarray  # (TERMS, subjects) float32
     prior: np.ndarray
-    leaves: dict[int, np.ndarray]  # leaf -> log of its mixture of subjects over the prior
-    leaf_terms: dict[int, list[str]]
-
-    def of_sentences(self, found: list[np.ndarray], leaf: int) -> np.ndarray:
-        """The subject number of each sentence."""
-        sizes = np.array([max(len(t), 1) for t in found])
-        sc = np.add.reduceat(self.weights[np.concatenate(found)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / np.sqrt(sizes)[:, None]
-        return (sc + self.prior + LEAF_WEIGHT * self.leaves.get(leaf, 0.0)).argmax(1)
-
-
-def labelled_sample(documents: DataFrame, idf: np.ndarray, tree: Tree, labels: DataFrame, n: int = LABELLED):
-    """(doc labels, doc leaf, doc sentences) of at most ``n`` labelled documents."""
-    per_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = stage(chosen)  # bounded by n
-    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    leaves: dict[int, np.ndarray]  # leaf -> log of its mixture of subjects over the corpus
+
+    def of_sentences(self, lines: list[str], leaf: np.ndarray) -> np.ndarray:
+        """The subject number of each sentence; ``leaf`` is that of its document."""
+        known = np.stack([*self.leaves.values(), np.zeros(len(self.subjects))])
+        place = {k: i for i, k in enumerate(self.leaves)}
+        of_leaf = LEAF_WEIGHT * known[np.array([place.get(k, len(place)) for k in leaf.tolist()], np.int64)]
+        out = np.zeros(len(lines), np.int64)
+        for a, b in pieces(lines):
+            n, h = b - a, hashes(lines[a:b])
+            sc, sizes = np.zeros((n, len(self.subjects))), np.zeros(n, np.int64)
+            for t, of in ((h.word, h.of_word), (h.pair, h.of_pair), (h.run, h.of_run)):
+                sc += row_sums(self.weights[t & (TERMS - 1)], of, n)
+                sizes += np.bincount(of, minlength=n)
+            out[a:b] = (sc / np.sqrt(np.maximum(sizes, 1))[:, None] + self.prior + of_leaf[a:b]).argmax(1)
+        return out
+
+
+def labelled_sample(documents: DataFrame, idf: np.ndarray, tree: Tree, labels: DataFrame, n: int = LABELLED) -> list:
+    """(doc_id, labels, leaf, sentences) of at most ``n`` labelled documents."""
+    per_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    chosen = stage(per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
+    got = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in _parts(b)):
             get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731,B023
-            leaves = _leaves(get("text").to_pylist(), idf, tree)
-            some = [[" ".join(words(s)) for s in sentences(t)] for t in get("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([get("doc_id"), get("subjects"), pa.array(leaves), pa.array(some, pa.list_(pa.string()))], names=["doc_id", "subjects", "leaf", "s"])
+            lines, doc = _sentences_of(get("text").to_pylist())
+            leaf = tree.leaf(_embedded(*_distinct(lines, doc, b.num_rows)[:2], idf).astype(float))
+            off = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([get("doc_id"), get("subjects"), pa.array(leaf), pa.ListArray.from_arrays(pa.array(off), pa.array(lines, pa.string()))], names=["doc_id", "subjects", "leaf", "s"])
 
     return sorted(got.select("doc_id", "subjects", "text").mapInArrow(run, "doc_id long, subjects array<string>, leaf long, s array<string>").collect())
 
 
-def fit(sample: list, subjects: list[str], rounds: int = 12) -> Model | None:
-    """Term weights and leaf mixtures from labelled documents.
+def fit(sample: list, names: list[str], leaves: list[int], mixtures: np.ndarray, words: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model | None:
+    """Sentence weights from the leaves' words and mixtures, calibrated on labelled documents.
 
-    The first posteriors are the leaves' label shares within each document's
-    own labels; then sentences and weights are refined in turn.
+    ``names`` ends in NONE; ``mixtures`` holds the leaves' labels and ``words``
+    the counts of their words. Each subject starts with the words of the
+    leaves, weighted by their mixtures; then sentences and weights are refined
+    in turn, first on words and pairs, at last on all terms.
     """
-    names = [*sorted(set(subjects) - {NONE}), NONE]
     k, at = len(names), {s: i for i, s in enumerate(names)}
     docs = [(set(r[1]) & set(names), r[2], r[3]) for r in sample if r[3] and set(r[1]) & set(names)]
     if not docs:
@@ -346,115 +563,142 @@ def fit(sample: list, subjects: list[str], rounds: int = 12) -> Model | None:
     allowed = np.zeros((len(docs), k))
     for i, (own, _, _) in enumerate(docs):
         allowed[i, [at[s] for s in own]] = 1
-    leaf_share: dict[int, np.ndarray] = {}
-    for i, (_, leaf, _) in enumerate(docs):
-        leaf_share[leaf] = leaf_share.get(leaf, 0.5) + allowed[i]
     allowed[:, -1] = 1
     of_doc = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
-    found = [terms(s.split(" ")) for d in docs for s in d[2]]
-    sizes = np.array([len(t) for t in found])
-    idx, row = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
-    leaf_of = np.array([d[1] for d in docs])
+    lines = [s for d in docs for s in d[2]]
     n_of = np.bincount(of_doc, minlength=len(docs))
-    p = np.stack([allowed[i] * leaf_share[leaf_of[i]] for i in range(len(docs))])[of_doc]
-    p /= p.sum(1, keepdims=True)
+
+    base = (mixtures * words[1][:, None]).sum(0) + 1.0
+    base /= base.sum()
+    prior_of = {leaf: np.append(np.log((m[:-1] + 0.1 * base[:-1]) / (1.1 * base[:-1])), 0.0) for leaf, m in zip(leaves, mixtures)}
+    zero = np.zeros(k)
+    of_leaf = LEAF_WEIGHT * np.stack([prior_of.get(d[1], zero) for d in docs])
+
+    h = hashes(lines)
+    first = log_odds(mixtures.T @ words[0], mixtures.T @ words[1])
+    first[-1] = 0.0
+    sc = row_sums(first.T[word_number(h)], h.of_word, len(lines)) / np.sqrt(np.maximum(np.bincount(h.of_word, minlength=len(lines)), 1))[:, None]
+    sc[:, -1] = START
+
+    few = Terms(Hashes(h.word, h.of_word, h.pair, h.of_pair, h.word[:0], h.of_word[:0]), len(lines))
+    every = Terms(h, len(lines))
     # readers call a subject treated when a fifth of the sentences are about it: a label's share is held up to that
     owed = np.where(allowed > 0, TREATS * n_of[:, None], 0.0)
     owed[:, -1] = 0.0
     lift = np.zeros_like(allowed)
     closed = np.where(allowed > 0, 0.0, -1e3)
     for r in range(rounds):
-        count = np.stack([np.bincount(idx, weights=p[row, j], minlength=TERMS) for j in range(k)], axis=1)
-        back = (count.sum(1) + 0.5) / (count.sum() + 0.5 * TERMS)
-        # weights are relative to the corpus: terms that tell nothing weigh nothing
-        w = np.log((count + 2 * back[:, None] + 1e-3) / (count.sum(0) + 2 + 1e-3 * TERMS)) - np.log(back)[:, None]
-        prior = np.log(p.mean(0) + 1e-9)
-        sc = np.stack([np.bincount(row, weights=w[idx, j], minlength=len(found)) for j in range(k)], axis=1) / np.sqrt(sizes)[:, None] + prior
         if r in (rounds // 2, rounds - 2):
             free = np.zeros_like(allowed)
-            np.add.at(free, (of_doc, sc.argmax(1)), 1)
+            np.add.at(free, (of_doc, (sc + of_leaf[of_doc]).argmax(1)), 1)
             mine = (free * (owed > 0)).sum(1) / n_of
             other = (free * (owed == 0))[:, :-1].sum(1) / n_of
             # a few labels are wrong: a document that by its sentences treats other subjects and none of its own is freed
             wrong = (mine < 0.05) & (other > 0.4)
             closed[wrong], owed[wrong], lift[wrong] = 0.0, 0.0, 0.0
         for _ in range(4):
-            q = sc + (closed + lift)[of_doc]
+            q = sc + (closed + lift + of_leaf)[of_doc]
             p = np.exp(q - q.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            mass = np.stack([np.bincount(of_doc, weights=p[:, j], minlength=len(docs)) for j in range(k)], axis=1)
+            mass = np.zeros_like(allowed)
+            some = np.flatnonzero(n_of)
+            mass[some] = np.add.reduceat(p, (np.cumsum(n_of) - n_of)[some], axis=0)
             lift = np.where(owed > 0, np.clip(lift + np.log((owed + 0.01) / (mass + 0.01)), 0.0, 12.0), 0.0)
-    leaves, leaf_terms = {}, {}
-    base = p.mean(0)
-    said = [s for d in docs for s in d[2]]
-    for leaf in np.unique(leaf_of):
-        m = leaf_of[of_doc] == leaf
-        mix = (p[m].sum(0) + 20 * base) / (m.sum() + 20)
-        leaves[int(leaf)] = np.log(mix / base).astype(np.float32)
-        leaf_terms[int(leaf)] = _telling([said[i] for i in np.flatnonzero(m)], said)
-    return Model(names, w.astype(np.float32), prior.astype(np.float32), leaves, leaf_terms)
-
-
-def _telling(inside: list[str], everywhere: list[str], top: int = 12) -> list[str]:
-    """The discriminative terms of a leaf: words by their log odds against all sentences."""
-    from collections import Counter
+        used = every if r >= rounds - FULL else few
+        w, prior = used.weights(p)
+        if r + 1 < rounds:
+            sc = used.scores(w) + prior
+    return Model(names, w.astype(np.float32), prior.astype(np.float32), prior_of)
+
+
+class Terms:
+    """The terms of a sample of sentences, in order of sentences and in order of terms."""
+
+    def __init__(self, h: Hashes, n: int):
+        of = np.concatenate([h.of_word, h.of_pair, h.of_run])
+        order = np.argsort(of, kind="stable")
+        self.row = of[order]
+        self.term = (np.concatenate([h.word, h.pair, h.run]) & (TERMS - 1))[order]
+        self.n, self.sizes = n, np.maximum(np.bincount(of, minlength=n), 1)
+        self.by_term = np.argsort(self.term, kind="stable")
+
+    def weights(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of how much oftener each term occurs about a subject than at all; log shares of the subjects.
+
+        Weights are relative to the corpus: terms that tell nothing weigh nothing.
+        """
+        count = row_sums(p.astype(np.float32)[self.row[self.by_term]], self.term[self.by_term], TERMS).astype(float)
+        back = (count.sum(1) + 0.5) / (count.sum() + 0.5 * TERMS)
+        w = np.log((count + 2 * back[:, None] + 1e-3) / (count.sum(0) + 2 + 1e-3 * TERMS)) - np.log(back)[:, None]
+        return w, np.log(p.mean(0) + 1e-9)
 
-    a, b = Counter(w for s in inside for w in set(s.split(" "))), Counter(w for s in everywhere for w in set(s.split(" ")))
-    score = {w: n * np.log((n / len(inside)) / (b[w] / len(everywhere))) for w, n in a.items() if n >= 3 and len(w) > 2}
-    return sorted(score, key=lambda w: (-score[w], w))[:top]
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return row_sums(w.astype(np.float32)[self.term], self.row, self.n).astype(float) / np.sqrt(self.sizes)[:, None]
 
 
 # ---- assignment --------------------------------------------------------------------------------
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, n: int = LABELLED) -> tuple[np.ndarray, Tree, Model | None]:
-    vecs, idf = vectors(documents)
-    tree = bisect(vecs)
-    names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect()]
-    return idf, tree, fit(labelled_sample(documents, idf, tree, labels, n), names)
-
-
-def assign(documents: DataFrame, idf: np.ndarray, tree: Tree, model: Model | None) -> DataFrame:
+@dataclass
+class Fitted:
+    idf: np.ndarray
+    tree: Tree
+    model: Model | None
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, n: int = LABELLED) -> Fitted:
+    labels = labels.where("doc_id is not null and subject is not null")
+    told = [(r[0], f"{r[1] or ''}. {r[2] or ''}") for r in _described(subjects).limit(SUBJECTS + 1).collect()]
+    if len(told) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
+    names = [*sorted({s for s, _ in told} - {NONE}), NONE]
+    lists = stage(term_lists(documents))
+    idf = frequencies(lists)
+    vecs = vectors(lists, idf)
+    tree = bisect(vecs, LEAVES_A_SUBJECT * len(names))
+    leaves, *words = leaf_words(vecs, tree)
+    counts, per = subject_words(vecs, labels, names)
+    for s, text in told:
+        if s != NONE:
+            counts[names.index(s), np.unique(word_number(hashes([text], runs=False)))] += TITLE
+            per[names.index(s)] += TITLE
+    return Fitted(idf, tree, fit(labelled_sample(documents, idf, tree, labels, n), names, leaves, leaf_labels(words, (counts, per)), words))
+
+
+def _described(subjects: DataFrame) -> DataFrame:
+    """One row a subject: its name, title and scope note, null where the table has none."""
+    text = [F.max(c).alias(c) if c in subjects.columns else F.lit(None).cast("string").alias(c) for c in ("title", "scope_note")]
+    return subjects.where("subject is not null").groupBy("subject").agg(*text)
+
+
+def assign(documents: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id, subject, n_sentences, n_about and share of each subject of each document that has any sentence about it.
 
     One pass over the texts where they lie; a document's leaf comes from its
-    vector, made again in the same pass.
+    vector, made again from the same sentences.
     """
     schema = "doc_id long, subject string, n_sentences int, n_about int"
+    idf, tree, model = fitted.idf, fitted.tree, fitted.model
     if model is None:
         return documents.sparkSession.createDataFrame([], schema + ", share double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for b in batches:
-            get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731,B023
-            leaves = _leaves(get("text").to_pylist(), idf, tree)
-            out: list[tuple] = []
-            for doc, text, leaf in zip(get("doc_id").to_pylist(), get("text").to_pylist(), leaves):
-                found = []
-                for s in sentences(text):
-                    key = " ".join(words(s))
-                    t = known.get(key)
-                    if t is None:
-                        if len(known) > 20_000:
-                            known.clear()
-                        t = known[key] = terms(key.split(" "))
-                    if len(t):
-                        found.append(t)
-                if not found:
-                    continue
-                z = np.concatenate([model.of_sentences(found[i : i + 2000], int(leaf)) for i in range(0, len(found), 2000)])
-                for j, n in zip(*np.unique(z, return_counts=True)):
-                    if model.subjects[j] != NONE:
-                        out.append((doc, model.subjects[j], len(z), int(n)))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "subject", "n_sentences", "n_about"])
+        for b in (p for b in batches for p in _parts(b)):
+            lines, doc = _sentences_of(b.column(1).to_pylist())
+            leaf = tree.leaf(_embedded(*_distinct(lines, doc, b.num_rows)[:2], idf).astype(float))
+            k = len(model.subjects)
+            key, n = np.unique(doc * k + model.of_sentences(lines, leaf[doc]), return_counts=True)
+            about = key % k < k - 1  # the last is none
+            row = key[about] // k
+            names = pa.array([model.subjects[j] for j in (key[about] % k).tolist()], pa.string())
+            cols = [b.column(0).take(pa.array(row)), names, pa.array(np.bincount(doc, minlength=b.num_rows)[row].astype(np.int32)), pa.array(n[about].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "subject", "n_sentences", "n_about"])
 
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, schema).withColumn("share", F.col("n_about") / F.col("n_sentences"))
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    return assign(documents, *train(documents, labels, subjects))
+    return assign(documents, train(documents, labels, subjects))
 
 
 def treated(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
