@@ -151,13 +151,28 @@ def test_samples(spark):
     df = canonical_rows(spark, n=50)
     assert [r.time_index for r in split.capped_sample(df, 5).where("vessel_id = 'a'").orderBy("time_index").collect()] == [0, 12, 24, 36, 49]
     assert split.capped_sample(df, 1).count() == 3 and split.capped_sample(df, 500).count() == 150
-    assert split.allocation({"a": 60, "b": 30, "c": 10}, 10) == {"a": 6, "b": 3, "c": 1}
-    assert split.allocation({"a": 1000, "b": 1, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
-    with pytest.raises(ValueError):
-        split.allocation({"a": 5, "b": 5, "c": 5}, 2)
     assert split.proportional_sample(df, 31).count() == 31
 
 
+def test_allocation(spark):
+    """Of all ways to give each entity one to all of its rows, the one nearest to the proportional shares."""
+    import itertools
+
+    def given(counts, size):
+        df = spark.createDataFrame([(f"e{i}", n) for i, n in enumerate(counts)], "vessel_id string, n long")
+        return [r.k for r in split.allocation(df, size).orderBy("vessel_id").collect()]
+
+    assert given([60, 30, 10], 10) == [6, 3, 1] and given([1000, 1, 1], 10) == [8, 1, 1] and given([5, 5, 5], 4) == [2, 1, 1]
+    for counts, size in (([40, 33, 1, 1, 1, 1, 1], 9), ([7, 5, 3, 2], 9), ([30, 9, 9, 1, 1, 1], 8), ([2, 2, 2], 50), ([9, 8, 7, 1, 1, 1, 1], 7)):
+        got = given(counts, size)
+        size = min(size, sum(counts))
+        far = lambda k: sum((a - size * n / sum(counts)) ** 2 for a, n in zip(k, counts))  # noqa: E731,B023
+        ways = [k for k in itertools.product(*[range(1, n + 1) for n in counts]) if sum(k) == size]
+        assert sum(got) == size and far(got) < min(map(far, ways)) + 1e-9, (counts, size, got)
+    with pytest.raises(ValueError):
+        given([5, 5, 5], 2)
+
+
 def test_hash_and_group_splits(spark):
     df = spark.range(101).withColumn("g", F.col("id") % 7)
     got = split.hashed(df, "id")

@@ -19,7 +19,7 @@ PARTS = ("train", "validation", "test")
 LARGEST, FOLD_RANGES = 100_000, 1024
 
 
-def ranked(df: DataFrame, entity: str, order: Column, bucket: Column) -> DataFrame:
+def ranked(df: DataFrame, entity: str, order: Column | list[Column], bucket: Column) -> DataFrame:
     """``df`` plus rn (from 1, by ``order``) and n (rows of the entity).
 
     ``bucket`` must not decrease with ``order``.
@@ -29,7 +29,7 @@ def ranked(df: DataFrame, entity: str, order: Column, bucket: Column) -> DataFra
     w = Window.partitionBy("_e").orderBy("_bk")
     counts = counts.select("_e", F.col("_bk").alias("_b"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("_e")).alias("n"))
     d = d.join(counts, F.col(entity).eqNullSafe(F.col("_e")) & F.col("_bk").eqNullSafe(F.col("_b")))
-    rn = F.row_number().over(Window.partitionBy(entity, "_bk").orderBy(order)).cast("long") + F.col("_before")
+    rn = F.row_number().over(Window.partitionBy(entity, "_bk").orderBy(*(order if isinstance(order, list) else [order]))).cast("long") + F.col("_before")
     return d.withColumn("rn", rn).drop("_bk", "_b", "_e", "_before")
 
 
@@ -129,24 +129,45 @@ def capped_sample(df: DataFrame, rows: int = 1000, entity: str = "vessel_id", ti
     return spaced_sample(df, df.select(entity).distinct().withColumn("k", F.lit(rows).cast("long")), entity, time)
 
 
-def allocation(counts: dict[str, int], requested: int) -> dict[str, int]:
-    """Rows of each entity: proportional, by largest remainders, at least one, at most all."""
-    total = sum(counts.values())
-    size = min(requested, total)
-    if not counts or size < len(counts) or min(counts.values()) == 0:
+def allocation(counts: DataFrame, requested: int, entity: str = "vessel_id") -> DataFrame:
+    """entity and k, its rows of ``requested`` ones; ``counts`` holds one row of entity and n.
+
+    Everyone gets the whole part of the proportional share, but at least one.
+    What is then missing goes to the largest remainders, one each (ties by
+    name): fewer are missing than have a remainder. What is too much, because
+    of those raised to one, is taken back level by level from the others (the
+    smallest remainders first, ties by name from the end): everyone above one
+    gives up ``level`` rows, and those next in line one more.
+
+    A request above the rows there are takes them all; one below the number of
+    entities, and an entity without rows, are errors.
+    """
+    total, least, entities = counts.agg(F.sum("n"), F.min("n"), F.count("*")).first()
+    size = min(requested, total or 0)
+    if not entities or size < entities or least < 1:
         raise ValueError("the sample is too small for its entities")
-    quota = {e: Fraction(size * c, total) for e, c in counts.items()}
-    got = {e: min(counts[e], max(1, int(q))) for e, q in quota.items()}
-    order = sorted(counts)
-    while sum(got.values()) < size:
-        got[min((e for e in order if got[e] < counts[e]), key=lambda e: (got[e] - quota[e], e))] += 1
-    while sum(got.values()) > size:
-        got[max((e for e in order if got[e] > 1), key=lambda e: (got[e] - quota[e], e))] -= 1
-    return got
+    exact = F.col("n").cast("decimal(38,0)") * F.lit(size)
+    part = counts.select(entity, F.expr("1L").alias("_all"), (exact % F.lit(total)).cast("long").alias("rem"), F.floor(exact / F.lit(total)).cast("long").alias("whole"))
+    part = part.withColumn("start", F.greatest("whole", F.lit(1)))
+    missing = size - part.agg(F.sum("start")).first()[0]
+    tight = F.floor(F.col("rem") * 4096.0 / total).cast("long")  # rank by counts of 4,096 ranges of remainders
+    if missing >= 0:
+        r = ranked(part, "_all", [F.desc("rem"), F.col(entity)], -tight)
+        return r.select(entity, (F.col("start") + (F.col("rn") <= missing).cast("long")).alias("k"))
+    # rows to take back when everyone gives up as many as the poorest at this cap: one row for each distinct cap
+    over = -missing
+    caps = part.select((F.col("start") - 1).alias("cap")).groupBy("cap").agg(F.count("*").alias("m"))
+    w = Window.orderBy("cap")
+    caps = caps.select("cap", (F.sum(F.col("cap") * F.col("m")).over(w) + F.col("cap") * (entities - F.sum("m").over(w))).alias("taken"), (entities - F.sum("m").over(w)).alias("richer"))
+    cap, taken, richer = caps.where(F.col("taken") <= over).agg(F.max_by(F.struct("cap", "taken", "richer"), "cap")).first()[0]
+    level = cap + (over - taken) // richer if richer else cap
+    left = (over - taken) % richer if richer else 0
+    able = part.where(F.col("start") - 1 > level)
+    next_in_line = ranked(able, "_all", [F.col("rem"), F.desc(entity)], tight).select(F.col(entity).alias("_e2"), (F.col("rn") <= left).cast("long").alias("more"))
+    taken_back = F.least(F.col("start") - 1, F.lit(level)) + F.coalesce("more", F.lit(0))
+    return part.join(next_in_line, F.col(entity) == F.col("_e2"), "left").select(entity, (F.col("start") - taken_back).alias("k"))
 
 
 def proportional_sample(df: DataFrame, requested: int, entity: str = "vessel_id", time: str = "time_index") -> DataFrame:
     """``requested`` rows in all, shared out by ``allocation`` and evenly spaced in time."""
-    counts = {r[0]: r[1] for r in df.groupBy(entity).agg(F.count("*")).collect()}  # one row for each entity
-    k = [(e, n) for e, n in allocation(counts, requested).items()]
-    return spaced_sample(df, df.sparkSession.createDataFrame(k, f"`{entity}` string, k long"), entity, time)
+    return spaced_sample(df, allocation(stage(df.groupBy(entity).agg(F.count("*").alias("n"))), requested, entity), entity, time)
