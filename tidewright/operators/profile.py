@@ -24,10 +24,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewright.functions.names import is_null_word, squeezed
-from tidewright.session import stage
+from tidewright.session import small, stage
 
 #: Usual share above which a value or category is compared by itself; the rest are compared as one.
 CATEGORY = 0.01
@@ -60,50 +60,55 @@ def _text(df: DataFrame, c: str) -> tuple:
     return v.cast("string"), F.lit(None).cast("double")
 
 
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def exact_shape(v: Column) -> Column:
+    """Every digit as 9, every capital as A, every other letter as a; regular expressions only where a letter may not be ASCII."""
+    plain = F.translate(v, _DIGITS + _UPPER + _LOWER, "9" * 10 + "A" * 26 + "a" * 26)
+    other = F.regexp_replace(F.regexp_replace(plain, r"\p{Lu}", "A"), r"[\p{L}&&[^Aa]]", "a")
+    return F.when(F.octet_length(v) > F.char_length(v), other).otherwise(plain)
+
+
 def cell_counts(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
-    """(_load, col, v, x, n): the number of merged rows of each value; v null if missing."""
+    """(_load, col, v, x, n, s0): the number of merged rows of each value and its exact shape, staged; v null if missing."""
     cells = F.array(*[F.struct(F.lit(i).cast("short").alias("col"), _text(rows, c)[0].alias("v"), _text(rows, c)[1].alias("x")) for i, c in enumerate(columns)])
-    return rows.select(F.col(f"`{load}`").alias("_load"), F.explode(cells).alias("c")).groupBy("_load", "c.col", "c.v", "c.x").agg(F.count("*").alias("n"))
+    counts = rows.select(F.col(f"`{load}`").alias("_load"), F.explode(cells).alias("c")).groupBy("_load", "c.col", "c.v", "c.x").agg(F.count("*").alias("n"))
+    return stage(counts.withColumn("s0", exact_shape(F.col("v"))))
 
 
 def expressions(values: DataFrame) -> DataFrame:
-    """``values`` (with col and v) plus ``expr``, the induced expression; null if v conforms to none.
+    """``values`` (with col, v and s0) plus ``expr``, the induced expression; null if v conforms to none.
 
-    The description lengths are sums over all distinct values of a column.
+    The description lengths are sums over all distinct values of a column. All
+    of it but the count of distinct values works on shapes, and sums over the
+    shapes of an expression are aggregations by it, so that no task sorts or
+    holds the shapes of one.
     """
-    exact = F.regexp_replace(F.regexp_replace(F.regexp_replace("v", "[0-9]", "9"), r"\p{Lu}", "A"), r"[\p{L}&&[^\p{Lu}A]]", "a")
-    distinct = values.where("v is not null").select("col", "v").distinct().withColumn("s0", exact)
     # one row for each exact shape: distinct values and their characters
-    shapes = distinct.groupBy("col", "s0").agg(F.count("*").alias("k"))
+    shapes = stage(values.where("v is not null").groupBy("col", "s0", "v").agg(F.lit(1).alias("one")).groupBy("col", "s0").agg(F.count("*").alias("k")))
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace("s0", "9+", "9+"), r"(?<!\+)A+", "A+"), r"a+", "a+")
     words = F.regexp_replace("s0", "[9Aa]+", "w+")
     n = lambda c, cls: F.length(c) - F.length(F.regexp_replace(c, cls, ""))
     digits, letters = n(F.col("s0"), "9"), n(F.col("s0"), "[Aa]")
-    shapes = shapes.withColumn("s1", runs).withColumn("s2", words)
+    shapes = shapes.withColumn("s1", runs).withColumn("s2", words).withColumn("signs", digits + letters)
     shapes = shapes.withColumn("bits", digits * _DIGIT + letters * _LETTER).withColumn("chars", F.length("s0"))
-    shapes = shapes.withColumn("runs1", n(F.col("s1"), r"\+")).withColumn("runs2", n(F.col("s2"), r"\+"))
-    shapes = shapes.withColumn("dl0", F.length("s0") * _TOKEN + F.col("k") * F.col("bits"))
-    g1 = shapes.groupBy("col", "s1").agg(
+    shapes = stage(shapes.withColumn("runs1", n(F.col("s1"), r"\+")).withColumn("runs2", n(F.col("s2"), r"\+")).withColumn("dl0", F.length("s0") * _TOKEN + F.col("k") * F.col("bits")))
+    g1 = shapes.groupBy("col", "s1", "s2").agg(
         F.sum("dl0").alias("under0"),
         (F.length("s1") * _TOKEN + F.sum(F.col("k") * (F.col("bits") + F.col("runs1") * _RUN))).alias("own1"),
+        F.sum(F.col("k") * (F.col("signs") * _WORD + F.col("runs2") * _RUN)).alias("in2"),
     )
-    g1 = g1.withColumn("use1", F.col("own1") <= F.col("under0")).withColumn("dl1", F.least("own1", "under0"))
-    shapes = shapes.join(g1.select("col", "s1", "use1", "dl1"), ["col", "s1"])
-    first = F.col("dl1") / F.count("*").over(_w("col", "s1"))
-    g2 = shapes.withColumn("part", first).groupBy("col", "s2").agg(
-        F.sum("part").alias("under1"),
-        (F.length("s2") * _TOKEN + F.sum(F.col("k") * ((digits + letters) * _WORD + F.col("runs2") * _RUN))).alias("own2"),
+    g1 = g1.withColumn("use1", F.col("own1") <= F.col("under0")).withColumn("dl1", F.least("own1", "under0"))  # an s1 has one s2
+    g2 = g1.groupBy("col", "s2").agg((F.length("s2") * _TOKEN + F.sum("in2") < F.sum("dl1")).alias("use2"))
+    chosen = shapes.join(g1.select("col", "s1", "use1"), ["col", "s1"]).join(g2, ["col", "s2"])
+    chosen = chosen.withColumn("expr", F.when(F.col("use2"), F.col("s2")).when(F.col("use1"), F.col("s1")).otherwise(F.col("s0")))
+    per = chosen.groupBy("col", "expr").agg(
+        (_NEW + F.length("expr") * _TOKEN + F.sum(F.col("k") * F.when(F.col("use2"), F.col("signs") * _WORD).otherwise(F.col("bits")))).alias("cost"),
+        F.sum(F.col("k") * (F.col("chars") * _ANY + 4)).alias("plain"),
     )
-    shapes = shapes.join(g2.select("col", "s2", (F.col("own2") < F.col("under1")).alias("use2")), ["col", "s2"])
-    shapes = shapes.withColumn("expr", F.when(F.col("use2"), F.col("s2")).when(F.col("use1"), F.col("s1")).otherwise(F.col("s0")))
-    cost = _NEW + F.length("expr") * _TOKEN + F.sum(F.col("k") * (F.when(F.col("use2"), (digits + letters) * _WORD).otherwise(F.col("bits")))).over(_w("col", "expr"))
-    plain = F.sum(F.col("k") * (F.col("chars") * _ANY + 4)).over(_w("col", "expr"))
-    kept = shapes.select("col", "s0", F.when(cost < plain, F.col("expr")).alias("expr"))
-    return values.withColumn("s0", exact).join(kept, ["col", "s0"], "left").drop("s0")
-
-
-def _w(*cols: str):
-    return Window.partitionBy(*cols)
+    kept = stage(chosen.select("col", "s0", "expr").join(per.where("cost < plain").select("col", "expr"), ["col", "expr"]))
+    return values.join(small(kept), ["col", "s0"], "left").drop("s0")
 
 
 def as_regex(expr: str) -> str:
@@ -117,9 +122,8 @@ def as_regex(expr: str) -> str:
 def profile(df: DataFrame, load: str = "load_id", columns: list[str] | None = None) -> DataFrame:
     """One row for each load and column: counts, range, level, pattern and duplicate figures."""
     columns = columns or [c for c in df.columns if c != load]
-    rows = merged_rows(df.select(load, *[f"`{c}`" for c in columns]), load)
-    cells = cell_counts(rows, load, columns)
-    seen = expressions(cells)
+    rows = stage(merged_rows(df.select(load, *[f"`{c}`" for c in columns]), load))
+    seen = expressions(cell_counts(rows, load, columns))
     per_expr = seen.groupBy("_load", "col", "expr", F.col("v").isNull().alias("miss")).agg(
         F.sum("n").alias("n"), F.count("v").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("v").alias("lo_text"), F.max("v").alias("hi_text"),
         F.sum(F.when(F.col("x") <= 0, F.col("n")).otherwise(0)).alias("nonpos"),
@@ -197,11 +201,30 @@ def _levels(cells: DataFrame) -> DataFrame:
     return cum.groupBy("_load", "col").agg(at(0.5).alias("y"), (at(0.75) - at(0.25)).alias("iqr"), F.first("size").cast("double").alias("size"))
 
 
+def _median(y: Column) -> Column:
+    """The lower median, from a summary of fixed size; exact up to some ten thousand loads."""
+    return F.percentile_approx(y, F.lit(0.5), 10_000)
+
+
+def _usual(shares: DataFrame, loads: DataFrame) -> DataFrame:
+    """col, key and mid: the upper median share of each key over all loads with values of the column.
+
+    A load without the key has a share of 0, so a key of fewer than half of the
+    loads has none; of the others the median is a lower quantile of the shares
+    there are, taken from a summary of fixed size in steps of 1/200.
+    """
+    steps = F.array(*[F.lit(i / 200) for i in range(101)])
+    q = shares.groupBy("col", "key").agg(F.count("*").alias("seen"), F.percentile_approx("y", steps, 10_000).alias("q")).join(F.broadcast(loads), "col")
+    rank = F.col("seen") - (F.col("loads") - F.floor((F.col("loads") - 1) / 2)) + 1  # from the bottom, from 1
+    mid = F.element_at("q", (F.floor(200 * rank / F.col("seen")) + 1).cast("int"))
+    return q.where(rank >= 1).select("col", "key", F.coalesce(mid, F.element_at("q", 101)).alias("mid")).where("mid > 0")
+
+
 def _centre(stats: DataFrame, by: list[str], y: str) -> DataFrame:
     """Median over loads and the median distance from it, of each figure."""
-    mid = stats.groupBy(*by).agg(F.percentile(y, F.lit(0.5)).alias("mid"))
+    mid = stats.groupBy(*by).agg(_median(F.col(y)).alias("mid"))
     both = stats.join(F.broadcast(mid), by)
-    off = both.groupBy(*by).agg(F.percentile(F.abs(F.col(y) - F.col("mid")), F.lit(0.5)).alias("off"), F.percentile("size", F.lit(0.5)).alias("usual_size"))
+    off = both.groupBy(*by).agg(_median(F.abs(F.col(y) - F.col("mid"))).alias("off"), _median(F.col("size")).alias("usual_size"))
     return both.join(F.broadcast(off), by)
 
 
@@ -250,16 +273,13 @@ def _distribution(counts: DataFrame, totals: DataFrame) -> DataFrame:
     shares = counts.join(size, ["_load", "col"]).withColumn("y", F.col("n") / F.col("size"))
     loads = size.groupBy("col").agg(F.count("*").alias("loads"))
     # the median share over all loads with values; a load without the key has 0
-    usual = shares.groupBy("col", "key").agg(F.sort_array(F.collect_list("y")).alias("ys")).join(F.broadcast(loads), "col")
-    at = F.col("loads") - F.floor((F.col("loads") - 1) / 2)  # position from the top
-    mid = F.when(F.size("ys") >= at, F.element_at("ys", (F.size("ys") - at + 1).cast("int"))).otherwise(0.0)
-    usual = usual.select("col", "key", mid.alias("mid")).where("mid > 0")
+    usual = _usual(shares, loads)
     # sum |y - mid| over the union of keys = sum over present keys + what absent ones leave
     base = usual.groupBy("col").agg(F.sum("mid").alias("all_mid"), F.sum(F.sqrt(F.col("mid") * (1 - F.col("mid")))).alias("noise"))
     got = shares.join(usual, ["col", "key"], "left").withColumn("m0", F.coalesce("mid", F.lit(0.0)))
     per = got.groupBy("_load", "col").agg(F.sum(F.abs(F.col("y") - F.col("m0"))).alias("present_gap"), F.sum("m0").alias("seen_mid"), F.first("size").alias("size"))
     per = per.join(F.broadcast(base), "col", "left").withColumn("tv", (F.col("present_gap") + F.coalesce(F.col("all_mid") - F.col("seen_mid"), F.lit(0.0))) / 2)
-    typical = per.groupBy("col").agg(F.percentile("tv", F.lit(0.5)).alias("usual_tv"))
+    typical = per.groupBy("col").agg(_median(F.col("tv")).alias("usual_tv"))
     limit = F.lit(SPREAD) + F.col("usual_tv") + 2.0 * F.coalesce("noise", F.lit(0.0)) / F.sqrt(F.col("size"))
     return per.join(F.broadcast(typical), "col").where(F.col("tv") > limit).select("_load", "col")
 
@@ -276,20 +296,18 @@ def _categories(counts: DataFrame, totals: DataFrame) -> DataFrame:
     shares = counts.join(size, ["_load", "col"]).withColumn("y", F.col("n") / F.col("size"))
     loads = F.broadcast(size.groupBy("col").agg(F.count("*").alias("loads")))  # one row a column
     often = stage(shares.where(F.col("y") > CATEGORY))
-    ys = often.groupBy("col", "key").agg(F.sort_array(F.collect_list("y")).alias("ys")).join(loads, "col")
-    at = F.col("loads") - F.floor((F.col("loads") - 1) / 2)  # position from the top
-    usual = stage(ys.where(F.size("ys") >= at).select("col", "key", F.element_at("ys", (F.size("ys") - at + 1).cast("int")).alias("mid")))
+    usual = stage(_usual(often, loads))
     # at most 2 / CATEGORY rows a column
     seen = shares.join(F.broadcast(usual), ["col", "key"]).select("_load", "col", "y", "mid")
     chance = CATEGORY + SIGMAS * F.sqrt(CATEGORY * (1 - CATEGORY) / F.col("size")) + SIGMAS**2 / 3 / F.col("size")
     extra = often.join(F.broadcast(usual), ["col", "key"], "left_anti").withColumn("y", F.col("y") - chance).where("y > 0").select("_load", "col", "y", F.lit(0.0).alias("mid"))
     per = seen.unionByName(extra).groupBy("_load", "col").agg(F.sum("y").alias("own"), F.sum("mid").alias("seen_mid"), F.sum(F.abs(F.col("y") - F.col("mid"))).alias("gap"))
     per = size.join(per, ["_load", "col"], "left").na.fill(0.0, ["own", "seen_mid", "gap"]).withColumn("rest", 1 - F.col("own"))
-    rest = per.groupBy("col").agg(F.percentile("rest", F.lit(0.5)).alias("usual_rest"))
+    rest = per.groupBy("col").agg(_median(F.col("rest")).alias("usual_rest"))
     base = usual.groupBy("col").agg(F.sum("mid").alias("all_mid"), F.sum(F.sqrt(F.col("mid") * (1 - F.col("mid")))).alias("noise"))
     per = per.join(F.broadcast(rest), "col").join(F.broadcast(base), "col", "left").na.fill(0.0, ["all_mid", "noise"])
     per = per.withColumn("tv", (F.col("gap") + F.col("all_mid") - F.col("seen_mid") + F.abs(F.col("rest") - F.col("usual_rest"))) / 2)
-    typical = per.groupBy("col").agg(F.percentile("tv", F.lit(0.5)).alias("usual_tv"))
+    typical = per.groupBy("col").agg(_median(F.col("tv")).alias("usual_tv"))
     of_rest = F.sqrt(F.greatest(F.col("usual_rest") * (1 - F.col("usual_rest")), F.lit(0.0)))
     limit = F.lit(SPREAD) + F.col("usual_tv") + 2.0 * (F.col("noise") + of_rest) / F.sqrt("size")
     return per.join(F.broadcast(typical), "col").where(F.col("tv") > limit).select("_load", "col")
@@ -298,7 +316,7 @@ def _categories(counts: DataFrame, totals: DataFrame) -> DataFrame:
 def _shifted(levels: DataFrame) -> DataFrame:
     """Loads whose median of positive values is another level or unit."""
     c = _centre(levels, ["col"], "y")
-    width = levels.groupBy("col").agg(F.percentile("iqr", F.lit(0.5)).alias("usual_iqr"))
+    width = levels.groupBy("col").agg(_median(F.col("iqr")).alias("usual_iqr"))
     c = c.join(F.broadcast(width), "col")  # one row a column
     se = F.sqrt(F.pow(0.93 * F.col("usual_iqr"), 2) / F.col("size") + F.pow(F.col("off") * 1.4826, 2))
     gap = F.abs(F.col("y") - F.col("mid"))
