@@ -261,8 +261,8 @@ def sample_linspace(spark, d):
 
 
 @query(f"""with {_S}, t as (select *, row_number() over (partition by vessel_id order by time_index) - 1 as pos from p where split = 'train'),
- c as (select vessel_id, count(*) as n from t group by 1), z as (select *, sum(n) over () as total, 600 * n // sum(n) over () as whole, 600 * n % sum(n) over () as rem from c),
- st as (select *, greatest(whole, 1) as k0, 600 - sum(greatest(whole, 1)) over () as missing from z),
+ c as (select vessel_id, count(*) as n from t group by 1), y as (select *, cast(sum(n) over () as bigint) as total from c), z as (select *, 600 * n // total as whole, 600 * n % total as rem from y),
+ st as (select *, greatest(whole, 1) as k0, cast(600 - sum(greatest(whole, 1)) over () as bigint) as missing from z),
  back as (select vessel_id, row_number() over (order by rem + j * total, vessel_id desc) as o from (select *, unnest(range(greatest(k0 - 1, 0))) as j from st)),
  k as (select st.vessel_id, n, k0 + case when missing > 0 and row_number() over (order by rem desc, vessel_id) <= missing then 1 else 0 end - (select count(*) from back b where b.vessel_id = st.vessel_id and b.o <= -missing) as k from st),
  w as (select distinct vessel_id, case when k <= 1 then 0 when i = k - 1 then n - 1 else cast(floor(i * ((n - 1)::double / (k - 1))) as bigint) end as pos from (select *, unnest(range(k)) as i from k))

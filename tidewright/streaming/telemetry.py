@@ -12,13 +12,12 @@ from tidewright.operators.canonical import RENAMED, TARGET
 
 def canonical_stream(raw: DataFrame, version: str, arrived: str = "arrived_at", delay: str = "2 days") -> DataFrame:
     """Typed rows of a raw stream; copies within ``delay`` of each other are dropped."""
-    t, s = parse.number(F.col(SNAPSHOT_COLUMNS[-1])), parse.step_number(F.col("time_index"))
     once = raw.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(list(SNAPSHOT_COLUMNS))
-    n = {f: parse.number(F.col(r))["value"] for r, f in RENAMED.items() if f != TARGET}
-    kept = once.where(t["error"].isNull() & (t["value"] >= 0) & s["error"].isNull())
+    d = parse.parsed(once.withColumnRenamed("time_index", "_time_text"), {f: r for r, f in RENAMED.items()}, {"time_index": "_time_text"})
+    kept = d.where(F.col(TARGET).isNotNull() & (F.col(TARGET) >= 0) & F.col("time_index").isNotNull())
     return kept.select(
-        identity.record_id(F.lit(version), F.col("vessel_id"), s["value"]).alias("record_id"), "vessel_id", s["value"].alias("time_index"),
-        *[F.when(~parse.out_of_range(f, n[f]), n[f]).alias(f) for f in FEATURES], t["value"].alias(TARGET), arrived,
+        identity.record_id(F.lit(version), F.col("vessel_id"), F.col("time_index")).alias("record_id"), "vessel_id", "time_index",
+        *[F.when(~parse.out_of_range(f, F.col(f)), F.col(f)).alias(f) for f in FEATURES], TARGET, arrived,
     )
 
 
