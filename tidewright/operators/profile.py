@@ -213,11 +213,11 @@ def _usual(shares: DataFrame, loads: DataFrame) -> DataFrame:
     loads has none; of the others the median is a lower quantile of the shares
     there are, taken from a summary of fixed size in steps of 1/200.
     """
-    steps = F.array(*[F.lit(i / 200) for i in range(101)])
+    steps = F.array(*[F.lit(i / 200) for i in range(201)])
     q = shares.groupBy("col", "key").agg(F.count("*").alias("seen"), F.percentile_approx("y", steps, 10_000).alias("q")).join(F.broadcast(loads), "col")
     rank = F.col("seen") - (F.col("loads") - F.floor((F.col("loads") - 1) / 2)) + 1  # from the bottom, from 1
-    mid = F.element_at("q", (F.floor(200 * rank / F.col("seen")) + 1).cast("int"))
-    return q.where(rank >= 1).select("col", "key", F.coalesce(mid, F.element_at("q", 101)).alias("mid")).where("mid > 0")
+    at = F.round(200 * (F.greatest(rank, F.lit(1)) - 0.5) / F.col("seen")).cast("int") + 1
+    return q.where(rank >= 1).select("col", "key", F.element_at("q", at).alias("mid")).where("mid > 0")
 
 
 def _centre(stats: DataFrame, by: list[str], y: str) -> DataFrame:
