@@ -70,8 +70,9 @@ NONE = "none"
 _TAG = re.compile(r"</?([a-zA-Z]{1,10})\b[^<>]{0,300}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _END = re.compile(r"(?<=[.!?…)])\s+")
-#: What ends in a full stop without ending a sentence: "no.", "Item AB-12.", "On 3.4.".
-_OPEN = re.compile(r"(?:\bno\.|^[^\W\d_]{3,12} [a-z]{2}-[\w/.-]*\.|^[^\W\d_]{2,5} [0-9]{1,2}\.[0-9]{1,2}\.)$", re.I)
+#: What ends in a full stop without ending a sentence, with one blank: "Item AB-12.", "On 3.4."; besides it "no.".
+_OPEN = re.compile(r"(?:[^\W\d_]{3,12} [a-z]{2}-[\w/.-]*\.|[^\W\d_]{2,5} [0-9]{1,2}\.[0-9]{1,2}\.)$", re.I)
+_NUMBER = re.compile(r"\bno\.$", re.I)
 _MOJIBAKE = re.compile("[\u00c2-\u00f4][^\\x00-\x7f]+|[\u00c2-\u00f4]\u00ad")
 _ENTITY = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
@@ -104,6 +105,10 @@ def mended(text: str) -> str:
     return text
 
 
+def _goes_on(held: str) -> bool:
+    return held.count(" ") == 1 and _OPEN.match(held) is not None or held[-3:].lower() == "no." and _NUMBER.search(held, max(len(held) - 4, 0)) is not None
+
+
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text; tables, code blocks, dumps and lone words are none."""
     if not text:
@@ -127,7 +132,7 @@ def sentences(text: str | None) -> list[str]:
             held = f"{held} {p}" if held else p
             if i + 1 < len(parts):
                 nxt = parts[i + 1]
-                if nxt.startswith("(") and not nxt[1:2].isupper() or _OPEN.search(held) or (not one_case and nxt[:1].islower()):
+                if nxt.startswith("(") and not nxt[1:2].isupper() or _goes_on(held) or (not one_case and nxt[:1].islower()):
                     continue
             if " " in held:
                 out.append(held)
