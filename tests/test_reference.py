@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import angles, identity, parse
 from tidewright.models import regress, rotations, swarm
-from tidewright.operators import canonical, features, keys, metrics, split, store
+from tidewright.operators import canonical, contracts, features, keys, legacy, metrics, split, store
 from tidewright.operators.badrows import FEATURES, SNAPSHOT_COLUMNS
-from tidewright.plans import pipeline, quality_queries, reference_queries
+from tidewright.plans import contract_queries, pipeline, quality_queries, reference_queries
 from tidewright.sources import publish, scan
 
 RAW = ", ".join(f"{c} string" for c in SNAPSHOT_COLUMNS)
@@ -235,10 +235,10 @@ def test_store(spark):
     assert {tuple(r) for r in once.collect()} == {(1, "v", 1.0, "kept"), (9, "old", 5.0, "kept"), (2, "v", None, None)}
     assert store.insert_absent(src, once, "id").count() == 3
     r = store.preflight(src, tgt, "id", ["x"], "id", "version")
-    assert store.blocking_reasons(r) == [] and r.first().to_insert == 1
+    assert store.blocking_reasons(r).collect() == [] and r.first().to_insert == 1
     store.verify_loaded(src, once, "id", ["x"], "id", "version")
     bad = tgt.unionByName(spark.createDataFrame([(1, "v", 2.0, "x"), (None, "v", 0.0, "x"), (7, "v", 0.0, "x")], tgt.schema))
-    assert store.blocking_reasons(store.preflight(src, bad, "id", ["x"], "id", "version")) == ["conflicts", "extras", "null_ids", "duplicate_ids"]
+    assert [x.reason for x in store.blocking_reasons(store.preflight(src, bad, "id", ["x"], "id", "version")).collect()] == ["conflicts", "extras", "null_ids", "duplicate_ids"]
     with pytest.raises(RuntimeError):
         store.verify_loaded(src, tgt, "id", ["x"], "id", "version")
     assert {r.id: r.x for r in store.replace(src, tgt, "id").collect()} == {1: 1.0, 2: None, 9: 5.0}
@@ -264,19 +264,99 @@ def test_legacy_frame(spark):
     assert {r.at is None for r in got} == {True, False}
 
 
-def test_publication(tmp_path):
+def test_publication(spark, tmp_path):
     at = str(tmp_path / "s")
-    publish.publish(at, lambda d: publish.write_json(os.path.join(d, "a.json"), {"x": 1}))
+    publish.publish(spark, at, lambda d: publish.write_json(spark, f"{d}/a.json", {"x": 1}))
+    assert publish.read_json(spark, f"{at}/a.json") == {"x": 1}
     with pytest.raises(FileExistsError):
-        publish.publish(at, lambda d: None)
+        publish.publish(spark, at, lambda d: None)
     os.symlink("nowhere", tmp_path / "broken")
     with pytest.raises(FileExistsError):
-        publish.publish(str(tmp_path / "broken"), lambda d: None)
+        publish.publish(spark, str(tmp_path / "broken"), lambda d: None)
     with pytest.raises(ZeroDivisionError):
-        publish.publish(str(tmp_path / "t"), lambda d: 1 / 0)
+        publish.publish(spark, str(tmp_path / "t"), lambda d: 1 / 0)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["broken", "s"]
-    publish.failure_report(str(tmp_path / "f.json"), "load", ValueError("secret"))
+    publish.failure_report(spark, str(tmp_path / "f.json"), "load", ValueError("secret"))
+    publish.write_json(spark, str(tmp_path / "f.json"), [publish.read_json(spark, str(tmp_path / "f.json"))])
     assert "secret" not in (tmp_path / "f.json").read_text()
+    publish.claim(spark, str(tmp_path / "one"))
+    with pytest.raises(FileExistsError):
+        publish.claim(spark, str(tmp_path / "one"))
+    publish.save(spark.range(3), str(tmp_path / "x.parquet"))
+    assert spark.read.parquet(str(tmp_path / "x.parquet")).count() == 3
+    with pytest.raises(FileExistsError):
+        publish.save(spark.range(3), str(tmp_path / "x.parquet"))
+
+
+def test_switching_pointers_and_recovery(spark, tmp_path):
+    d = str(tmp_path)
+    for name in ("a", "b", "c"):
+        publish.publish(spark, f"{d}/{name}", lambda at: None)
+    publish.switch(spark, d, {"model": f"{d}/a", "report": f"{d}/b"})
+    assert publish.current(spark, d) == {"model": f"{d}/a", "report": f"{d}/b"} and publish.recover(spark, d) == "clean"
+    with pytest.raises(FileNotFoundError):
+        publish.switch(spark, d, {"model": f"{d}/nowhere", "report": f"{d}/b"})
+    publish.write_json(spark, f"{d}/pending.json", {"model": f"{d}/c", "report": f"{d}/nowhere"})  # broke off before all was there
+    assert publish.recover(spark, d) == "dropped" and publish.current(spark, d)["model"] == f"{d}/a"
+    publish.write_json(spark, f"{d}/pending.json", {"model": f"{d}/c", "report": f"{d}/b"})  # broke off before the switch
+    assert publish.recover(spark, d) == "completed" and publish.current(spark, d)["model"] == f"{d}/c"
+
+
+def test_contracts(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, float("nan")), (3, None)], "i long, x double")
+    assert {r[0]: r[1] for r in contracts.broken(df, {"i": F.col("i") > 1, "x": contracts.finite(F.col("x"))}).collect()} == {"i": 2, "x": 2}
+    assert {r[0]: r[1] for r in contracts.broken(df.limit(0), {"i": F.col("i") > 1}).collect()} == {"i": 0}
+    with pytest.raises(ValueError, match="x: 2"):
+        contracts.require(contracts.broken(df, {"x": contracts.finite(F.col("x"))}))
+    with pytest.raises(ValueError):
+        contracts.inference_input(df)
+    assert contracts.frame_problems(df, ["i", "y"], "x") == ["column missing: y"] and contracts.frame_problems(df.limit(0), ["i"]) == ["no rows"]
+    assert not contracts.passed(contracts.validation_report(df, ["i", "x", "y"])) and contracts.passed(contracts.validation_report(df.na.fill(0), ["i", "x"]))
+    out = df.select("i", F.lit(1.0).alias("prediction"))
+    assert {r[0]: r[1] for r in contracts.inference_output(df.where("i is not null"), out.where("i = 1").unionByName(out.where("i = 1")), "i").collect()} == {"answered_once": 2, "asked": 0, "finite": 0}
+    t = spark.createDataFrame([(2.0, -1.0), (4.0, 1.0), (3.0, 0.5)], f"{canonical.TARGET} double, s double")
+    assert {r[0]: r[1] for r in contracts.scaled_target(t, 2.0, 4.0, "s").collect()} == {"s": 1, "scale_not_constant": 0}
+    assert contracts.canonical_columns(spark.createDataFrame([], ", ".join(f"{c} string" for c in reversed(canonical.CANONICAL_COLUMNS)))) == ["order"]
+
+
+def test_files_against_a_manifest(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x")
+    (tmp_path / "b.csv").write_text("y")
+    want = {"a.csv": hashlib.sha256(b"x").hexdigest(), "c.csv": "0" * 64, "b.csv": "0" * 64}
+    assert {r[0]: r[1] for r in contracts.same_files(spark, str(tmp_path), want).collect()} == {"present": 1, "known": 0, "content": 1}
+
+
+def test_index_plan(spark):
+    kind = "name string, fields array<string>, is_unique boolean"
+    want = spark.createDataFrame([("ids", ["id"], True), ("keys", ["v", "t"], True), ("new", ["t"], False), ("taken", ["w"], False)], kind)
+    have = spark.createDataFrame([("other", ["id"], True, True), ("x", ["v", "t"], False, True), ("taken", ["z"], False, True)], kind + ", plain boolean")
+    assert {tuple(r) for r in store.index_plan(want, have).collect()} == {("ids", "reuse", "other"), ("keys", "conflict", None), ("new", "create", None), ("taken", "conflict", None)}
+
+
+def test_insertions(spark):
+    src = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id long, x string")
+    tgt = spark.createDataFrame([(2, "kept")], "id long, x string")
+    got = store.insert_absent(src, tgt, "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "kept")] and store.insert_absent(src, got, "id").count() == 2
+    assert tuple(store.insert_counts(src, tgt, "id").first()) == (4, 1, 1, 1, 0, 1)
+
+
+def test_order_across_stretches(spark):
+    rows = [("hot", i, (i * 7919) % 1000) for i in range(500)] + [("b", 5, 1), ("b", 900, 0)]
+    df = spark.createDataFrame(rows, "e string, pos long, t long")
+    want = {r.pos for r in keys.order_violations(df, "e", "pos", "t", 10_000).collect()}
+    assert want and {r.pos for r in keys.order_violations(df, "e", "pos", "t", 7).collect()} == want
+
+
+def test_legacy_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0, float("nan"))], "` Sailing speed ` double, Trim double, `Fuel consumption rate` double")
+    assert legacy.renamed(df).columns == ["sailing_speed", "trim", "fuel_consumption_rate"]
+    assert legacy.with_target(legacy.renamed(df), "fuel_consumption_rate").count() == 0
+    assert legacy.without(df, ["Trim", "none"]).columns == [" Sailing speed ", "Fuel consumption rate"]
+    with pytest.raises(ValueError):
+        legacy.renamed(spark.createDataFrame([(1, 2)], "Trim int, trim2 int").toDF("Trim", "trim"))
+    with pytest.raises(ValueError):
+        split.require_groups(df, "Trim", 2)
 
 
 def test_scans(spark, tmp_path):
@@ -285,7 +365,12 @@ def test_scans(spark, tmp_path):
     df, manifest = scan.pinned_entities(spark, str(tmp_path), ["a", "b"], VERSION)
     assert df.count() == 6 and manifest["row_counts"] == {"a": 3, "b": 3}
     scan.check_manifest(manifest, ["a", "b"])
-    for change in ({"dataset_version": "x"}, {"total_rows": 7}, {"row_counts": {"a": 6}}, {"entities": ["b", "a"]}):
+    scan.ingest(spark, str(tmp_path), ["a", "b"], VERSION, str(tmp_path / "stage"))
+    assert scan.snapshot(spark, str(tmp_path / "stage"), VERSION).count() == 6
+    spark.range(1).select(F.lit("a").alias("vessel_id"), F.lit("9").alias("time_index"), *[F.lit("1").alias(c) for c in SNAPSHOT_COLUMNS[2:]]).write.mode("append").parquet(str(tmp_path / "stage" / "rows"))
+    with pytest.raises(ValueError):
+        scan.snapshot(spark, str(tmp_path / "stage"), VERSION)
+    for change in ({"content_hash": "x"}, {"schema_fingerprint": "0" * 64}, {"dataset_version": "x"}, {"total_rows": 7}, {"row_counts": {"a": 6}}, {"entities": ["b", "a"]}):
         with pytest.raises(ValueError):
             scan.check_manifest(manifest | change, ["a", "b"])
     with pytest.raises(ValueError):
@@ -352,7 +437,8 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose(m.coefficients.toArray(), np.linalg.solve(c.T @ c + 3 * np.eye(2), c.T @ (y - y.mean())), atol=1e-6)
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
+def test_pipeline_end_to_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(regress.SPACES, "quick", {"ridge": ({"alpha": 1.0},), "gradient_boosting": ({"rounds": 15, "rate": 0.1, "depth": 3},)})
     rng = np.random.default_rng(3)
     rows = []
     for v in "ab":
@@ -361,17 +447,35 @@ def test_pipeline_end_to_end(spark, tmp_path):
             rows.append(raw(v, str(i), f"{s:.3f}", "3", str(i % 360), "1", "5", "0.2", f"{0.1 * s + 0.01 * rng.random():.5f}"))
     config = pipeline.Config(str(tmp_path))
     pipeline.clean(spark.createDataFrame(rows, RAW), VERSION, config)
-    pipeline.split_stage(spark.read.parquet(str(tmp_path / "clean" / "rows")), config)
+    cleaned = spark.read.parquet(config.at("clean", "rows"))
+    pipeline.split_stage(cleaned, config)
     pipeline.train(spark, config, ("ridge", "gradient_boosting"))
-    pipeline.select(config)
+    pipeline.verify_in_fresh_process(config, "ridge")
+    # a candidate that claims another error than its predictions give is refused
+    claimed = spark.read.parquet(config.at("candidates", "ridge", "metrics"))
+    honest = claimed.collect()
+    claimed.withColumn("mae", F.col("mae") / 2).write.parquet(str(tmp_path / "lie"))
+    os.rename(config.at("candidates", "ridge", "metrics"), str(tmp_path / "honest"))
+    os.rename(str(tmp_path / "lie"), config.at("candidates", "ridge", "metrics"))
+    with pytest.raises(ValueError, match="metric_mae"):
+        pipeline.select(spark, config)
+    os.rename(config.at("candidates", "ridge", "metrics"), str(tmp_path / "lie"))
+    os.rename(str(tmp_path / "honest"), config.at("candidates", "ridge", "metrics"))
+    assert honest
+    pipeline.select(spark, config)
     with pytest.raises(FileExistsError):
-        pipeline.select(config)
+        pipeline.select(spark, config)
     total = pipeline.evaluate(spark, config)
-    assert total["r2"] > 0.9
+    assert total["r2"] > 0.9 and publish.current(spark, str(tmp_path))["test"] == config.at("test")
     with pytest.raises(FileExistsError):
         pipeline.evaluate(spark, config)
-    got = pipeline.predict(spark, config, spark.read.parquet(str(tmp_path / "clean" / "rows")).select("record_id", *FEATURES))
-    assert got.where("prediction is null").count() == 0
+    six = cleaned.select("record_id", *FEATURES)
+    got = pipeline.predict(spark, config, six)
+    assert got.where("prediction is null").count() == 0 and got.count() == cleaned.count()
+    with pytest.raises(ValueError, match="wave_height"):
+        pipeline.predict(spark, config, six.withColumn("wave_height", F.lit(float("inf"))))
+    with pytest.raises(ValueError):
+        pipeline.predict(spark, config, six.select("record_id", *reversed(FEATURES)))
     with pytest.raises(ValueError):
         pipeline.Config("relative")
 
@@ -395,7 +499,7 @@ def _norm(df):
     return sorted(map(tuple, df.values.tolist()))
 
 
-ORACLES = {**quality_queries.ORACLES, **reference_queries.ORACLES}
+ORACLES = quality_queries.ORACLES | reference_queries.ORACLES | contract_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -403,5 +507,5 @@ def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    run = {**quality_queries.QUERIES, **reference_queries.QUERIES}[name]
+    run = (quality_queries.QUERIES | reference_queries.QUERIES | contract_queries.QUERIES)[name]
     assert _norm(run(spark, sf).toPandas()) == _norm(con.sql(ORACLES[name]).df())

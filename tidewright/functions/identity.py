@@ -41,7 +41,16 @@ def content_hash(df: DataFrame, columns: list[str] | None = None) -> str:
     return hashlib.sha256(json.dumps([x or 0 for x in r]).encode()).hexdigest()
 
 
-def list_digest(df: DataFrame, by: list[str], order: str, item: str) -> DataFrame:
-    """Digest of each group's items in order; groups are splits of entities, not whole sources."""
+def list_digest(df: DataFrame, by: list[str], order: str, item: str, width: int = 8192) -> DataFrame:
+    """Digest of each group's items in order of ``order``, a whole number, and of the item.
+
+    SHA-256 of the digests of its stretches of ``width`` one after the other, a
+    stretch's digest being that of the JSON list of its items; so a long group
+    is digested by many tasks and no row holds all of it. A group's digest
+    changes with any item, its place and its number.
+    """
+    stretch = F.expr(f"`{order}` div {width}")
     items = F.array_sort(F.collect_list(F.struct(order, item)))
-    return df.groupBy(*by).agg(F.sha2(F.to_json(F.transform(items, lambda s: s[item])), 256).alias("digest"))
+    parts = df.groupBy(*by, stretch.alias("_s")).agg(F.sha2(F.to_json(F.transform(items, lambda s: s[item])), 256).alias("d"))
+    all_parts = F.array_sort(F.collect_list(F.struct("_s", "d")))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(all_parts, lambda s: s["d"]), ""), 256).alias("digest"))

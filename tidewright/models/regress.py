@@ -22,23 +22,28 @@ def _product(**axes) -> tuple[dict, ...]:
     return tuple(dict(zip(axes, v)) for v in itertools.product(*axes.values()))
 
 
-#: Search spaces. Fixed values; the second boosting space stands in for a
-#: histogram booster that is not installed, without its L1, L2 and column sampling.
+#: Search spaces and budgets. Fixed values. The second boosting space stands in
+#: for a histogram booster that is not installed: its least child weight is the
+#: least rows of a leaf, its column sampling is by node, and it has no L1 and
+#: L2. The trees here know no least rows of a split.
 SPACES = {
     "quick": {
         "ridge": _product(alpha=(0.1, 1.0, 10.0)),
-        "random_forest": _product(trees=(40, 60), depth=(8,), leaf=(2, 4)),
-        "gradient_boosting": _product(rounds=(20,), rate=(0.05, 0.1), depth=(2, 3)),
-        "gradient_boosting_deep": _product(rounds=(30,), rate=(0.05, 0.1), depth=(5,)),
+        "random_forest": _product(trees=(40, 60), depth=(8, 12), leaf=(2, 4), features=(0.7, 1.0)),
+        "gradient_boosting": _product(rounds=(40, 60), rate=(0.05, 0.1), depth=(2, 3), rows=(0.7, 1.0)),
+        "gradient_boosting_deep": _product(rounds=(60, 100), rate=(0.05, 0.1), depth=(3, 5), leaf=(1, 5), rows=(0.7, 1.0), features=(0.7, 1.0)),
     },
     "normal": {
         "ridge": _product(alpha=(0.01, 0.1, 1.0, 10.0, 100.0)),
-        "random_forest": _product(trees=(60, 100, 120), depth=(8, 12), leaf=(2, 4)),
-        "gradient_boosting": _product(rounds=(60, 90, 120), rate=(0.03, 0.07, 0.1), depth=(2, 3)),
-        "gradient_boosting_deep": _product(rounds=(80, 140, 200), rate=(0.03, 0.07, 0.1), depth=(3, 5)),
+        "random_forest": _product(trees=(60, 100, 120), depth=(8, 12), leaf=(2, 4), features=(0.7, 1.0)),
+        "gradient_boosting": _product(rounds=(60, 90, 120), rate=(0.03, 0.07, 0.1), depth=(2, 3), rows=(0.7, 1.0)),
+        "gradient_boosting_deep": _product(rounds=(80, 140, 200), rate=(0.03, 0.07, 0.1), depth=(3, 5), leaf=(1, 5, 10), rows=(0.7, 1.0), features=(0.7, 1.0)),
     },
 }
-BUDGET = {"quick": 2, "normal": 6}
+BUDGET = {
+    "quick": {"random_forest": 2, "gradient_boosting": 2, "gradient_boosting_deep": 2},
+    "normal": {"random_forest": 6, "gradient_boosting": 6, "gradient_boosting_deep": 8},
+}
 
 
 def trials(name: str, mode: str, seed: int = 42) -> list[dict]:
@@ -49,7 +54,7 @@ def trials(name: str, mode: str, seed: int = 42) -> list[dict]:
     grid = list(SPACES[mode][name])
     if name == "ridge":
         return grid
-    return sorted(grid, key=lambda p: hashlib.sha256(f"{seed}{json.dumps(p, sort_keys=True)}".encode()).hexdigest())[: BUDGET[mode]]
+    return sorted(grid, key=lambda p: hashlib.sha256(f"{seed}{json.dumps(p, sort_keys=True)}".encode()).hexdigest())[: BUDGET[mode][name]]
 
 
 def assembled(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -65,8 +70,9 @@ def estimator(name: str, params: dict, train: DataFrame, target: str, seed: int
     if name == "linear":
         return LinearRegression(**common, solver="normal")
     if name == "random_forest":
-        return RandomForestRegressor(**common, numTrees=params["trees"], maxDepth=params["depth"], minInstancesPerNode=params["leaf"], featureSubsetStrategy="0.7", seed=seed)
-    return GBTRegressor(**common, maxIter=params["rounds"], stepSize=params["rate"], maxDepth=params["depth"], subsamplingRate=0.7, seed=seed)
+        return RandomForestRegressor(**common, numTrees=params["trees"], maxDepth=params["depth"], minInstancesPerNode=params["leaf"], featureSubsetStrategy=str(params.get("features", 0.7)), seed=seed)
+    more = {"minInstancesPerNode": params.get("leaf", 1), "subsamplingRate": params.get("rows", 0.7), "featureSubsetStrategy": str(params.get("features", 1.0))}
+    return GBTRegressor(**common, maxIter=params["rounds"], stepSize=params["rate"], maxDepth=params["depth"], seed=seed, **more)
 
 
 def search(name: str, mode: str, train: DataFrame, validation: DataFrame, target: str):

@@ -93,6 +93,14 @@ class Standardizer:
         return df.withColumns({prefix + c: (F.col(c) - m) / s for c, (m, s) in self.stats.items()})
 
 
+def classical_features(p: DataFrame) -> tuple[DataFrame, Imputer, Standardizer]:
+    """Imputed, encoded and standardised features of a split, fitted on its training rows: the seven of the classical models."""
+    train = p.where("split = 'train'")
+    imputer = Imputer.fit(train)
+    scaler = Standardizer.fit(encoded_direction(imputer.transform(train)), CLASSICAL)
+    return scaler.transform(encoded_direction(imputer.transform(p))), imputer, scaler
+
+
 @dataclass
 class MinMax:
     """Linear scaling by the training range."""

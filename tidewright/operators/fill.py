@@ -246,12 +246,29 @@ def fill_category(rows: DataFrame, register: DataFrame, *, group: str = "leg_id"
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = model.decode(floats(b, cols), list(range(CODE))) if b.num_rows else np.zeros((0, CODE))
-            near = ((got[:, None, :] - ideal[None]) ** 2).sum(2).argmin(1)
+            near = nearest(got, ideal)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] for i in near], pa.string())], names=[group, "filled"])
 
     return cells.mapInArrow(decode, f"{group} {kind}, filled string")
 
 
+def nearest(got: np.ndarray, ideal: np.ndarray, rows: int = 1024, names: int = 4096) -> np.ndarray:
+    """The nearest row of ``ideal`` to each row of ``got``: |g|^2 - 2 g.c + |c|^2 as matrix products in slices of both, ties to the first."""
+    out = np.zeros(len(got), np.int64)
+    for a in range(0, len(got), rows):
+        g = got[a : a + rows]
+        best = np.full(len(g), np.inf)
+        for b in range(0, len(ideal), names):
+            c = ideal[b : b + names]
+            far = (c * c).sum(1) - 2 * (g @ c.T)  # |g|^2 is the same for all
+            i = far.argmin(1)
+            d = far[np.arange(len(g)), i]
+            closer = d < best
+            out[a : a + rows][closer] = i[closer] + b
+            best[closer] = d[closer]
+    return out
+
+
 #: Names a register may hold for its codes to be sent to every worker (16 numbers each).
 BOUND = 100_000
 

@@ -55,8 +55,11 @@ def regular_series(
         "*", F.lead("slot").over(in_block).alias("next"), F.lead("v").over(in_block).alias("next_v")
     ).where("n_readings > 0")
     last = F.coalesce(F.col("next") - 1, F.col("slot"))
-    series = paired.select(
-        "*", F.explode(F.sequence("slot", last)).alias("at"),
+    # a long gap comes out block by block: no array holds more than ``block_slots`` slots
+    pieces = paired.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(coalesce(next - 1, slot) - slot) div {block_slots}"))).alias("_p"))
+    start = F.col("slot") + F.col("_p") * block_slots
+    series = pieces.select(
+        "*", F.explode(F.sequence(start, F.least(last, start + block_slots - 1))).alias("at"),
     ).select(
         F.col("_s").alias(source), F.col("at").alias("slot"),
         F.when(F.col("at") == F.col("slot"), F.col("v"))

@@ -48,3 +48,8 @@ def leaderboard(scores: DataFrame, candidates: list[str] | None = None) -> DataF
 
 def champion(scores: DataFrame) -> str:
     return scores.agg(F.min(F.struct("mae", "candidate")).alias("m")).first()["m"]["candidate"]
+
+
+def timings(df: DataFrame, stage: str, seconds: str) -> DataFrame:
+    """Batches, summed and longest time of each stage; ``df`` has one row a batch."""
+    return df.groupBy(stage).agg(F.count("*").alias("n_batches"), F.sum(seconds).alias("seconds"), F.max(seconds).alias("longest"))

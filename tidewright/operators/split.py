@@ -104,6 +104,17 @@ def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return placed.withColumn("fold", F.coalesce("_f", F.element_at(F.array(*[F.lit(f) for f in ranges]), bucket + 1))).drop("_g", "_f")
 
 
+def group_counts(df: DataFrame, unit: str, group: str) -> DataFrame:
+    """unit and n_groups: distinct non-null groups of each unit, from distinct pairs, so that a hot unit is counted by many tasks."""
+    return df.where(F.col(group).isNotNull()).select(unit, group).distinct().groupBy(unit).agg(F.count("*").alias("n_groups"))
+
+
+def require_groups(df: DataFrame, group: str, least: int) -> None:
+    n = df.where(F.col(group).isNotNull()).select(group).distinct().limit(least).count()
+    if n < least:
+        raise ValueError(f"{n} groups, {least} are needed")
+
+
 def shuffled_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int"))
 

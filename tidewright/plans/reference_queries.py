@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewright.functions import angles, identity, parse
 from tidewright.operators import canonical, features, keys, metrics, split, store
 from tidewright.operators.badrows import FEATURES, SNAPSHOT_COLUMNS
-from tidewright.session import table
+from tidewright.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,8 @@ def _clean(spark, d):
 
 
 def _split(spark, d):
-    return split.chronological(_clean(spark, d))
+    """The chronological split, ranked once: what follows passes over the staged table."""
+    return stage(split.chronological(_clean(spark, d)))
 
 
 def _r(c, n=R):
@@ -240,7 +241,7 @@ def split_disjoint(spark, d):
     return keys.overlap(p.where("split = 'train'"), p.where("split <> 'train'"), "record_id").agg(F.count("*").alias("n_common"))
 
 
-@query(f"with {_S}, i as (select vessel_id, split, to_json(list(record_id order by time_index)) as ids from p group by 1, 2) select vessel_id, split, sha256(ids) as digest from i")
+@query(f"with {_S}, i as (select vessel_id, split, time_index // 8192 as b, sha256(to_json(list(record_id order by time_index))) as d from p group by 1, 2, 3) select vessel_id, split, sha256(string_agg(d, '' order by b)) as digest from i group by 1, 2")
 def split_digests(spark, d):
     """Digest of the ordered ids of each part."""
     return identity.list_digest(_split(spark, d), ["vessel_id", "split"], "time_index", "record_id")
@@ -301,17 +302,10 @@ def circular_encode(spark, d):
 @query(f"with {_FITS}, x as (select record_id, split, " + ", ".join(f"coalesce({f}, m_{f}) as {f}" for f in FEATURES) + " from p, f), y as (select *, sin(radians(wind_direction)) as wind_direction_sin, cos(radians(wind_direction)) as wind_direction_cos from x), st as (select " + ", ".join(f"avg({c}) filter (split = 'train') as a_{c}, stddev_pop({c}) filter (split = 'train') as d_{c}" for c in features.CLASSICAL) + " from y) select record_id, split, " + ", ".join(f"round(({c} - a_{c}) / case when d_{c} = 0 then 1 else d_{c} end, 6) as z_{c}" for c in features.CLASSICAL) + " from y, st")
 def standardize_train_fit(spark, d):
     """Impute, encode and standardise on training rows: the seven features of the classical models."""
-    x = classical_features(_split(spark, d))[0]
+    x = features.classical_features(_split(spark, d))[0]
     return x.select("record_id", "split", *[_r(F.col(f"z_{c}")).alias(f"z_{c}") for c in features.CLASSICAL])
 
 
-def classical_features(p: DataFrame) -> tuple[DataFrame, features.Imputer, features.Standardizer]:
-    train = p.where("split = 'train'")
-    imputer = features.Imputer.fit(train)
-    scaler = features.Standardizer.fit(features.encoded_direction(imputer.transform(train)), features.CLASSICAL)
-    return scaler.transform(features.encoded_direction(imputer.transform(p))), imputer, scaler
-
-
 _MM = ", ".join(f"min({c}) filter (split = 'train') as lo_{c}, max({c}) filter (split = 'train') as hi_{c}" for c in (*FEATURES, TARGET))
 
 
@@ -396,35 +390,45 @@ def corr_pairs(spark, d):
 
 # ---- store ----
 
+_ORDERS = "select case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end as o_orderkey, o_custkey, o_totalprice + 1 as o_totalprice from orders"
 
-@query("select o_orderkey, o_custkey, o_totalprice, 'target' as side from orders where o_orderkey % 3 <> 0 union all select o_orderkey, o_custkey, o_totalprice, 'source' from orders where o_orderkey % 2 = 0 and o_orderkey % 3 = 0")
-def upsert_insert_absent(spark, d):
+
+def _order_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(source, target): all orders, and the same with other prices and every third under another key."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return store.insert_absent(o.where("o_orderkey % 2 = 0").withColumn("side", F.lit("source")), o.where("o_orderkey % 3 <> 0").withColumn("side", F.lit("target")), "o_orderkey")
+    k = F.col("o_orderkey")
+    source = o.select(F.when(k % 3 == 0, -k).otherwise(k).alias("o_orderkey"), "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return source.withColumn("side", F.lit("source")), o.withColumn("side", F.lit("target"))
 
 
-@query("select o_orderkey, o_custkey, o_totalprice, 'target' as side from orders where o_orderkey % 3 <> 0 and o_orderkey % 2 <> 0 union all select o_orderkey, o_custkey, o_totalprice, 'source' from orders where o_orderkey % 2 = 0")
+@query(f"with s as ({_ORDERS}) select o_orderkey, o_custkey, o_totalprice, 'target' as side from orders union all select o_orderkey, o_custkey, o_totalprice, 'source' from s where o_orderkey not in (select o_orderkey from orders)")
+def upsert_insert_absent(spark, d):
+    return store.insert_absent(*_order_sides(spark, d), "o_orderkey")
+
+
+@query(f"with s as ({_ORDERS}) select o_orderkey, o_custkey, o_totalprice, 'source' as side from s union all select o_orderkey, o_custkey, o_totalprice, 'target' from orders where o_orderkey not in (select o_orderkey from s)")
 def upsert_replace(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return store.replace(o.where("o_orderkey % 2 = 0").withColumn("side", F.lit("source")), o.where("o_orderkey % 3 <> 0").withColumn("side", F.lit("target")), "o_orderkey")
+    return store.replace(*_order_sides(spark, d), "o_orderkey")
 
 
-@query("""with s as (select record_id, time_index, fuel_consumption_kg_s as f from fuelcast_clean where time_index % 4 <> 0),
- t as (select record_id, time_index, case when time_index % 10 = 0 then f + 1 else f end as f from (select record_id, time_index, fuel_consumption_kg_s as f from fuelcast_clean where time_index % 3 <> 0)),
- j as (select s.record_id as a, t.record_id as b, s.f as sf, t.f as tf, s.time_index as st, t.time_index as tt from s full join t on s.record_id = t.record_id)
+@query("""with s as (select case when time_index % 4 = 0 then 'new' || record_id else record_id end as id, time_index, fuel_consumption_kg_s as f from fuelcast_clean),
+ t as (select record_id as id, time_index, case when time_index % 10 = 0 then fuel_consumption_kg_s + 1 else fuel_consumption_kg_s end as f from fuelcast_clean),
+ j as (select s.id as a, t.id as b, s.f as sf, t.f as tf from s full join t on s.id = t.id)
  select count(a) as source_rows, count(*) filter (a is not null and b is not null) as matched, count(*) filter (a is not null and b is not null and sf is distinct from tf) as conflicts, count(*) filter (a is null) as extras, count(*) filter (b is null) as to_insert, 0::bigint as null_ids, 0::bigint as duplicate_ids from j""")
 def store_preflight(spark, d):
     """What a load of one table into another would meet, without writing."""
     c = _clean(spark, d)
-    t = c.where("time_index % 3 <> 0").withColumn(TARGET, F.when(F.col("time_index") % 10 == 0, F.col(TARGET) + 1).otherwise(F.col(TARGET)))
-    return store.preflight(c.where("time_index % 4 <> 0"), t, "record_id", ["time_index", TARGET], "vessel_id", "dataset_version")
+    t = c.withColumn(TARGET, F.when(F.col("time_index") % 10 == 0, F.col(TARGET) + 1).otherwise(F.col(TARGET)))
+    s = c.withColumn("record_id", F.when(F.col("time_index") % 4 == 0, F.concat(F.lit("new"), F.col("record_id"))).otherwise(F.col("record_id")))
+    return store.preflight(s, t, "record_id", ["time_index", TARGET], "vessel_id", "dataset_version")
 
 
-@query("select a.event_id from events a full join (select event_id, case when event_id % 50 = 0 then 'other' else event_type end as event_type, user_id from events where event_id % 97 <> 0) b using (event_id) where b.event_type is null or a.event_type is distinct from b.event_type or a.user_id is distinct from b.user_id")
+@query("select coalesce(a.event_id, b.event_id) as event_id from events a full join (select case when event_id % 97 = 0 then -1 - event_id else event_id end as event_id, case when event_id % 50 = 0 then 'other' else event_type end as event_type, user_id from events) b using (event_id) where b.event_type is null or a.event_type is distinct from b.event_type or a.user_id is distinct from b.user_id")
 def identity_alignment(spark, d):
     """Positions at which two datasets do not hold the same identity."""
     e = table(spark, d, "events").select("event_id", "event_type", "user_id")
-    b = e.where("event_id % 97 <> 0").withColumn("event_type", F.when(F.col("event_id") % 50 == 0, "other").otherwise(F.col("event_type")))
+    i = F.col("event_id")
+    b = e.select(F.when(i % 97 == 0, -1 - i).otherwise(i).alias("event_id"), F.when(i % 50 == 0, "other").otherwise(F.col("event_type")).alias("event_type"), "user_id")
     return keys.misaligned(e, b, "event_id", ["event_type", "user_id"])
 
 
@@ -473,7 +477,7 @@ def _model(name, params):
     def run(spark, d):
         from tidewright.models import regress
 
-        x = regress.assembled(classical_features(_split(spark, d))[0], tuple(f"z_{c}" for c in features.CLASSICAL))
+        x = regress.assembled(features.classical_features(_split(spark, d))[0], tuple(f"z_{c}" for c in features.CLASSICAL))
         train = x.where("split = 'train'")
         return regress.estimator(name, params, train, TARGET).fit(train).transform(x.where("split = 'validation'")).select("record_id", "prediction")
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidewright.functions.identity import schema_fingerprint
+from tidewright.functions.identity import content_hash, schema_fingerprint
 from tidewright.operators.badrows import FEATURES, SNAPSHOT_COLUMNS
 from tidewright.operators.canonical import TARGET
+from tidewright.sources import publish
 
-VERSION = re.compile(r"[0-9a-f]{40}")
+#: Versions and hashes. Fixed patterns.
+VERSION, HASH = re.compile(r"[0-9a-f]{40}"), re.compile(r"[0-9a-f]{64}")
 
-#: Units of the canonical columns, kept as schema metadata.
+#: Units of the canonical columns, kept as schema metadata. Fixed values.
 UNITS = {
-    "time_index": "5 min", "speed_over_ground": "m/s", "wind_speed": "m/s", "wind_direction": "deg", "wave_height": "m",
+    "time_index": "5 min", "speed_over_ground": "m/s", "wind_speed": "m/s", "wind_direction": "degrees", "wave_height": "m",
     "wave_period": "s", "current_speed": "m/s", TARGET: "kg/s",
 }
 
@@ -57,10 +60,45 @@ def pinned_entities(spark: SparkSession, folder: str, entities: list[str], versi
     for p in parts[1:]:
         out = out.unionByName(p)
     counts = {r[0]: r[1] for r in out.groupBy("vessel_id").agg(F.count("*")).collect()}  # one row an entity
-    manifest = {"dataset_version": version, "entities": entities, "raw_columns": list(SNAPSHOT_COLUMNS), "row_counts": counts, "total_rows": sum(counts.values()), "schema_fingerprints": prints}
+    manifest = {
+        "dataset_version": version, "entities": entities, "raw_columns": list(SNAPSHOT_COLUMNS), "row_counts": counts, "total_rows": sum(counts.values()),
+        "schema_fingerprints": prints, "schema_fingerprint": combined(prints, entities), "content_hash": content_hash(out),
+    }
     return out, manifest
 
 
+def combined(prints: dict[str, str], entities: list[str]) -> str:
+    """One fingerprint over those of all entities in order."""
+    return hashlib.sha256("".join(prints[e] for e in entities).encode()).hexdigest()
+
+
+def ingest(spark: SparkSession, folder: str, entities: list[str], version: str, target: str) -> str:
+    """Copy pinned rows and their manifest to a new stage; what happens to the source later does not matter.
+
+    The manifest is made from the copy, so it describes what was read.
+    """
+
+    def write(at: str) -> None:
+        rows, manifest = pinned_entities(spark, folder, entities, version)
+        rows.write.parquet(f"{at}/rows")
+        copy = spark.read.parquet(f"{at}/rows")
+        if content_hash(copy) != manifest["content_hash"]:
+            raise ValueError("the source changed while it was copied")
+        publish.write_json(spark, f"{at}/manifest.json", manifest | {"columns": describe(copy)})
+
+    return publish.publish(spark, target, write)
+
+
+def snapshot(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The rows of an ingested stage, if its manifest holds and the rows still have the hash it names."""
+    manifest = publish.read_json(spark, f"{path}/manifest.json")
+    check_manifest(manifest, manifest.get("entities") or [])
+    rows = spark.read.parquet(f"{path}/rows")
+    if manifest["dataset_version"] != version or content_hash(rows) != manifest["content_hash"]:
+        raise ValueError("the snapshot is not the one its manifest describes")
+    return rows
+
+
 def check_manifest(manifest: dict, entities: list[str]) -> None:
     """Raise on a manifest that contradicts itself or the expected entities."""
     if not VERSION.fullmatch(str(manifest.get("dataset_version"))):
@@ -72,8 +110,11 @@ def check_manifest(manifest: dict, entities: list[str]) -> None:
         raise ValueError("manifest: row counts")
     if manifest.get("total_rows") != sum(counts.values()):
         raise ValueError("manifest: total")
-    if set(manifest.get("schema_fingerprints") or {}) != set(entities):
+    prints = manifest.get("schema_fingerprints") or {}
+    if set(prints) != set(entities) or manifest.get("schema_fingerprint") != combined(prints, entities):
         raise ValueError("manifest: fingerprints")
+    if not HASH.fullmatch(str(manifest.get("content_hash"))):
+        raise ValueError("manifest: content hash")
 
 
 def raw_csv(spark: SparkSession, path: str) -> DataFrame:
