@@ -101,6 +101,19 @@ def test_mixture_fills_a_shortage_within_the_domain(spark, monkeypatch):
         mixture.plan(mixture.sized(df), targets)
 
 
+def test_mixture_does_not_depend_on_the_number_of_ranges(spark):
+    """A budget ends in one range of few or many: sums and shares stay, whatever a range holds."""
+    rows = [(i, "wind pump sea claim " * (1 + i % 7), "en", "a" if i % 3 else "b") for i in range(600)]
+    sized = mixture.sized(docs(spark, rows))
+    plan = mixture.plan(sized, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS))
+    assert plan.largest == 400 and plan.range_bits() == 10
+    plan.largest = 1 << 40
+    assert plan.range_bits() == 21
+    fine = {tuple(r) for r in mixture.mixture(sized, plan).collect()}
+    plan.largest = 0
+    assert fine == {tuple(r) for r in mixture.mixture(sized, plan).collect()} and fine
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     mixed, shares = mixture.mix(docs(spark, []), targets)

@@ -13,9 +13,11 @@ shortage in one language of a source is made up by its other languages first,
 and the source keeps its share.
 
 Distribution: the tree has one node for each source and language and lives on
-the driver. Prefixes are found in two steps: token sums of 1,024 hash ranges of
-each leaf, then a running sum inside the one range where the budget ends, so a
-hot source is never ordered in one task.
+the driver. Prefixes are found in two steps: token sums of hash ranges of each
+leaf, then a running sum inside the one range where the budget ends. There are
+as many ranges as the square root of the largest leaf's documents (1,024 to
+4,194,304), so neither the ranges of a leaf nor the documents of a range grow
+to what one task cannot order.
 
 Defined results: documents of unlisted or null sources and documents without
 tokens are never taken; a listed source without documents gets nothing and its
@@ -33,7 +35,8 @@ from tidewright.functions.names import source_name, squeezed
 from tidewright.llm.bpe import VOCABULARY, token_counts
 from tidewright.session import stage
 
-RANGES = 1024
+#: Binary logarithms of the fewest and the most hash ranges of a leaf.
+RANGES = (10, 22)
 
 #: Leaves of the tree: more sources times languages than this is no register of sources.
 LEAVES = 100_000
@@ -79,6 +82,10 @@ class Plan:
     total: float
     leaves: list[tuple[str, str, float, float, int]]  # source, language, available, budget, repeats
     targets: dict[str, tuple[float, int]]
+    largest: int = 0  # documents of the largest leaf
+
+    def range_bits(self) -> int:
+        return min(max((self.largest.bit_length() + 1) // 2, RANGES[0]), RANGES[1])
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -108,12 +115,12 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
         raise ValueError(f"more than {LEAVES} sources")
     wanted = {r[0]: (float(r[1] or 0.0), int(r[2] or 0)) for r in listed}
     domains = {r[0]: r[3] for r in listed if r[3] is not None} | (domains or {})
-    have = docs.where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0)).groupBy("source", "lang").agg(F.sum("n_tokens").alias("t"))
+    have = docs.where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0)).groupBy("source", "lang").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
     got = have.limit(LEAVES + 1).collect()
     if len(got) > LEAVES:
         raise ValueError(f"more than {LEAVES} languages of sources")
     by: dict[str, list[tuple[str, float]]] = {}
-    for s, lang, t in sorted(got):
+    for s, lang, t, _ in sorted(got):
         by.setdefault(s, []).append((lang, float(t)))
     room = {s: sum(t for _, t in ls) * wanted[s][1] for s, ls in by.items()}
     live = [s for s in by if wanted[s][0] > 0 and room[s] > 0]
@@ -132,7 +139,7 @@ def plan(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
             node.children.append(leaf)
             leaves.append((s, lang, t, repeats, leaf))
     Node("corpus", 1.0, list(roots.values())).give(total_tokens)
-    return Plan(total_tokens, [(s, lang, t, leaf.budget, r) for s, lang, t, r, leaf in leaves], wanted)
+    return Plan(total_tokens, [(s, lang, t, leaf.budget, r) for s, lang, t, r, leaf in leaves], wanted, max((r[3] for r in got), default=0))
 
 
 def mixture(docs: DataFrame, made: Plan, seed: int = 7) -> DataFrame:
@@ -146,11 +153,11 @@ def mixture(docs: DataFrame, made: Plan, seed: int = 7) -> DataFrame:
     # one row for each source and language, bounded by LEAVES
     leaf = F.broadcast(spark.createDataFrame(rows, "source string, lang string, whole int, rest double"))
     d = docs.where("n_tokens > 0").join(leaf, ["source", "lang"])
-    d = d.withColumn("_h", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"))).withColumn("_r", F.shiftrightunsigned("_h", 54))
+    d = d.withColumn("_h", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"))).withColumn("_r", F.shiftrightunsigned("_h", 64 - made.range_bits()))
     sums = d.where("rest > 0").groupBy("source", "lang", "_r").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source", "lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edges = sums.withColumn("_before", before).select("source", "lang", "_r", "_before", "t")
-    # at most RANGES rows for each leaf
+    # at most 2 ** range_bits rows for each leaf
     d = d.join(edges, ["source", "lang", "_r"], "left")
     inside = F.col("_before").isNotNull() & (F.col("_before") + F.col("t") <= F.col("rest"))
     edge = F.col("_before").isNotNull() & (F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("t") > F.col("rest"))
