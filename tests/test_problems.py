@@ -284,8 +284,41 @@ def test_lines_split_into_typed_and_faulty(spark):
     assert set(good) == {2, 5} and good[2].time_index == 7
     assert [good[5][c] for c in badrows.FEATURES] == [None, 2.0, None, 4.0, None, None]
     assert badrows.faulty_lines(df.limit(0)).count() == 0
-    assert list(badrows.assemble(['a,"b', 'c",d', "e"])) == ['a,"b\nc",d', "e"]
-    assert next(csv.reader(['a,"b\nc",d'])) == ["a", "b\nc", "d"]
+
+
+def test_records_over_several_lines(spark):
+    """Lines of shuffled files, cut into small stretches, against the reader on whole files."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for f in ("f", "g"):
+        records = [",".join('"' + "x\n" * rng.choice((0, 0, 1, 5)) + 'say ""hi"""' if rng.random() < 0.3 else str(i) for _ in range(3)) for i in range(60)]
+        lines = "\n".join(records).split("\n")
+        rows += [(len(rows) + i, f, i + 1, t) for i, t in enumerate(lines)]
+        assert len(list(csv.reader(lines))) == len(records)
+        want |= {(f, r) for r in records}
+    rows.append((9999, None, None, '"open'))
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), LINES)
+    for stretch in (3, 4096):
+        got = badrows.assembled(df, stretch).collect()
+        assert {(r.file_name, r.raw_text) for r in got if r.file_name} == want and len(got) == 121
+        assert all(r.raw_text.startswith(dict(((x[1], x[2]), x[3]) for x in rows)[r.file_name, r.line_no]) for r in got if r.file_name)
+    good = GOOD.split(",")
+    two = spark.createDataFrame([(1, "f", 2, '"' + good[0]), (2, "f", 3, '",' + ",".join(good[1:])), (3, "f", 4, GOOD)], LINES)
+    assert {r.line_id for r in badrows.parse_lines(two, multiline=True).where("reason is null").collect()} == {1, 3}
+    assert badrows.faulty_lines(two).count() == 2 and badrows.assembled(df.limit(0)).count() == 0
+
+
+def test_nearest_names_equal_brute_force():
+    rng = np.random.default_rng(1)
+    got, ideal = rng.normal(size=(70, 5)), rng.normal(size=(50, 5))
+    want = ((got[:, None] - ideal[None]) ** 2).sum(2).argmin(1)
+    assert (fill.nearest(got, ideal) == want).all() and (fill.nearest(got, ideal, 16, 7) == want).all() and len(fill.nearest(got[:0], ideal)) == 0
+
+
+def test_a_long_gap_comes_out_block_by_block(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 300 * 1000, 2.0)], "s string, t long, x double")
+    got = grid.regular_series(df, source="s", time="t", value="x", block_slots=64).collect()
+    assert sorted(r.slot for r in got) == list(range(1001)) and sum(r.how == "marked" for r in got) == 999
 
 
 # ---- problem 4 ----

@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Column order of a snapshot line and of a canonical record. Fixed values.
 SNAPSHOT_COLUMNS = (
@@ -113,23 +113,34 @@ def one_line(text: str | None) -> str:
     return line.replace("\r", " ").replace("\n", " ") if "\r" in line or "\n" in line else line
 
 
-def assemble(lines: list[str]) -> Iterator[str]:
-    """Join the physical lines of one file into records, quote-aware.
+def assembled(lines: DataFrame, stretch: int = 4096) -> DataFrame:
+    """Records of files whose fields may hold line ends, from their physical lines (line_id, file_name, line_no, raw_text).
 
-    A line whose quotes are left open goes on in the next one, as RFC 4180
-    has it. Snapshot files have one record a line, so their lines are not
-    joined; this serves files whose fields may hold line ends.
+    A line whose quotes are left open goes on in the next one, as RFC 4180 has
+    it: a line begins a record if the quotes of its file before it are even in
+    number. A record has the id and number of its first line. Quotes are
+    counted by stretches of lines first, so a long file is cut among tasks.
+    A line without a file or number is a record by itself.
     """
-    held: list[str] = []
-    open_quote = False
-    for line in lines:
-        held.append(line)
-        open_quote ^= line.count('"') % 2 == 1
-        if not open_quote:
-            yield "\n".join(held)
-            held = []
-    if held:
-        yield "\n".join(held)
+    own = F.col("file_name").isNull() | F.col("line_no").isNull()
+    d = lines.select("line_id", "file_name", "line_no", F.coalesce("raw_text", F.lit("")).alias("raw_text"))
+    d = d.withColumn("_q", F.length("raw_text") - F.length(F.replace("raw_text", F.lit('"'), F.lit("")))).withColumn("_s", F.expr(f"line_no div {stretch}"))
+    d, single = d.where(~own), d.where(own).select("line_id", "file_name", "line_no", "raw_text")
+    per = d.groupBy("file_name", "_s").agg(F.sum("_q").alias("_n"))
+    earlier = Window.partitionBy("file_name").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("file_name").alias("_f"), F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    d = d.join(per, (F.col("file_name") == F.col("_f")) & (F.col("_s") == F.col("_t")))
+    inside = Window.partitionBy("file_name", "_s").orderBy("line_no", "line_id")
+    d = d.withColumn("_odd", (F.col("_before") + F.coalesce(F.sum("_q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2)
+    # the first line of a line's record: the last even one up to it, in this stretch or the ones before
+    place = F.struct("line_no", "line_id")
+    d = d.withColumn("_first", F.max(F.when(F.col("_odd") == 0, place)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = d.groupBy("file_name", "_s").agg(F.max(F.when(F.col("_odd") == 0, place)).alias("_l"))
+    last = last.select(F.col("file_name").alias("_g"), F.col("_s").alias("_u"), F.max("_l").over(earlier).alias("_carried"))
+    d = d.join(last, (F.col("file_name") == F.col("_g")) & (F.col("_s") == F.col("_u"))).withColumn("_first", F.coalesce("_first", "_carried"))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "line_id", "raw_text")))
+    whole = d.groupBy("file_name", F.col("_first.line_no").alias("line_no"), F.col("_first.line_id").alias("line_id")).agg(F.array_join(F.transform(parts, lambda p: p["raw_text"]), "\n").alias("raw_text"))
+    return whole.select("line_id", "file_name", "line_no", "raw_text").unionByName(single)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +158,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, multiline: bool = False) -> DataFrame:
     """Every data line of ``lines`` (line_id, line_no, raw_text) parsed once.
 
+    With ``multiline`` the lines are first assembled into records, for files
+    whose quoted fields may hold line ends. Snapshot files have one record a
+    line, and a quote left open there is the fault of its own line only.
+
     ``reason`` is null for typed rows. One pass, no shuffle: the scan reads
     three columns and each task keeps one Arrow batch.
     """
+    lines = assembled(lines) if multiline else lines
     return lines.where("line_no is null or line_no <> 1").select("line_id", "raw_text").mapInArrow(_parse, _OUT)
 
 
