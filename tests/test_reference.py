@@ -147,6 +147,15 @@ def test_exact_medians(spark, xs):
     assert (got is None) if not ok else got == pytest.approx(float(np.median(ok)), abs=1e-12)
 
 
+def test_medians_narrowed_down_by_group(spark):
+    """Many ranges and passes: skewed groups, ties, far middles, nulls in the group."""
+    rng = np.random.default_rng(5)
+    groups = {"a": [*rng.normal(0, 1, 300), 1e12, -1e9], "b": [1.0] * 50 + [2.0] * 50, None: list(rng.exponential(1, 101)), "c": [*rng.normal(0, 1e-6, 60), *rng.normal(1e9, 1, 60)], "d": [4.0]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("e", None)], "g string, x double")
+    got = {r.g: r.value for r in features.grouped_medians(df, ["x"], ("g",), within=5).collect()}
+    assert set(got) == set(groups) and all(got[g] == pytest.approx(float(np.median(xs)), rel=1e-12) for g, xs in groups.items())
+
+
 def test_samples(spark):
     df = canonical_rows(spark, n=50)
     assert [r.time_index for r in split.capped_sample(df, 5).where("vessel_id = 'a'").orderBy("time_index").collect()] == [0, 12, 24, 36, 49]

@@ -9,48 +9,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewright.functions import angles, parse
 from tidewright.operators.badrows import FEATURES
+from tidewright.session import small, stage
 
 DIRECTION = "wind_direction"
 CLASSICAL = ("speed_over_ground", "wind_speed", "wind_direction_sin", "wind_direction_cos", "wave_height", "wave_period", "current_speed")
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """The exact median of each column over its non-missing values; None if there is none.
+def grouped_medians(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), within: int = 1 << 16) -> DataFrame:
+    """(by, column, value): the exact median of each column over its non-missing values, by group; no row where there is none.
 
-    Two passes: an approximate quantile brackets the median, then only values
-    inside the bracket are counted by value and placed by their number below.
-    No task ever holds a column's distinct values.
+    Each of the two middle values is narrowed down: the values still in
+    question are counted in 4,096 ranges of equal width, and only the range
+    that holds the middle remains, until it holds at most ``within`` values;
+    those are ranked. A pass moves one row a range, and no task sees more than
+    ``within`` values of a group and column.
     """
+    pick = F.filter(F.array(*[F.struct(F.lit(c).alias("column"), parse.finite(F.col(f"`{c}`").cast("double")).alias("x")) for c in columns]), lambda s: s["x"].isNotNull())
+    key = [*by, "column"]
+    cells = stage(df.select(*by, F.explode(pick).alias("s")).select(*by, "s.column", "s.x").groupBy(*key, "x").agg(F.count("*").alias("k")))
+    ends = cells.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("k").alias("n"), F.count("*").alias("m"))
+    # one row for each group, column and wanted rank: the range in question, the values below it and in it
+    wanted = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
+    state = stage(ends.select(*key, "lo", "hi", "m", F.lit(0).cast("long").alias("below"), wanted))
+    one = [*key, "rank"]
+    reached = lambda c: (F.col("upto") - F.col(c) <= F.col("rank")) & (F.col("upto") > F.col("rank"))
+    for _ in range(64):
+        wide = state.where(F.col("m") > within)
+        if wide.isEmpty():
+            break
+        slot = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 4096)), F.lit(4095)).cast("int")
+        ranges = _inside(cells, wide, key).groupBy(*one, "below", slot.alias("slot")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("k").alias("k"), F.count("*").alias("m"))
+        at = ranges.withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy(*one).orderBy("slot")))
+        narrowed = at.where(reached("k")).withColumn("below", F.col("upto") - F.col("k"))
+        state = stage(state.where(F.col("m") <= within).unionByName(narrowed.select(state.columns)))
+    at = _inside(cells, state, key).withColumn("upto", F.col("below") + F.sum("k").over(Window.partitionBy(*one).orderBy("x")))
+    return at.where(reached("k")).groupBy(*key).agg(F.avg("x").alias("value"))
+
+
+def _inside(cells: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
+    """Cells of the ranges in question, with the columns of ``state``."""
+    s = small(state.withColumnsRenamed({c: f"_{c}" for c in key}))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return cells.join(s, [*on, F.col("x") >= F.col("lo"), F.col("x") <= F.col("hi")]).drop("m", *[f"_{c}" for c in key])
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The exact median of each column over its non-missing values; None if there is none."""
     if not columns:
         return {}
-    v = {c: parse.finite(F.col(f"`{c}`").cast("double")) for c in columns}
-    first = df.agg(
-        *[F.percentile_approx(v[c], F.array(F.lit(0.499), F.lit(0.501)), 10000).alias(f"q{i}") for i, c in enumerate(columns)],
-        *[F.count(v[c]).alias(f"n{i}") for i, c in enumerate(columns)],
-    ).first()
-    live = [(i, c, first[f"q{i}"], first[f"n{i}"]) for i, c in enumerate(columns) if first[f"n{i}"]]
-    if not live:
-        return {c: None for c in columns}
-    below = df.agg(*[F.count(F.when(v[c] < q[0], 1)).alias(f"b{i}") for i, c, q, _ in live]).first()
-    inside = F.filter(F.array(*[F.when((v[c] >= q[0]) & (v[c] <= q[1]), F.struct(F.lit(i).alias("i"), v[c].alias("x"))) for i, c, q, _ in live]), lambda s: s.isNotNull())
-    counts = df.select(F.explode(inside).alias("s")).groupBy("s.i", "s.x").agg(F.count("*").alias("k"))
-    start = F.element_at(F.create_map(*[z for i, _, _, _ in live for z in (F.lit(i), F.lit(below[f"b{i}"]))]), F.col("i"))
-    total = F.element_at(F.create_map(*[z for i, _, _, n in live for z in (F.lit(i), F.lit(n))]), F.col("i"))
-    upto = F.sum("k").over(Window.partitionBy("i").orderBy("x")) + start
-    at = counts.withColumn("hi", upto).withColumn("lo", upto - F.col("k"))
-    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
-    mids = at.groupBy("i").agg(
-        F.max(F.when((F.col("lo") <= low) & (low < F.col("hi")), F.col("x"))).alias("a"), F.max(F.when((F.col("lo") <= high) & (high < F.col("hi")), F.col("x"))).alias("b")
-    )
-    got = {r["i"]: r for r in mids.collect()}
-    out: dict[str, float | None] = {c: None for c in columns}
-    for i, c, _, _ in live:
-        r = got.get(i)
-        if r is None or r["a"] is None or r["b"] is None:  # the bracket missed: a column of few values around its middle
-            out[c] = df.agg(F.median(v[c])).first()[0]
-        else:
-            out[c] = (r["a"] + r["b"]) / 2
-    return out
+    got = {r["column"]: r["value"] for r in grouped_medians(df, columns).collect()}  # one row a column
+    return {c: got.get(c) for c in columns}
 
 
 @dataclass

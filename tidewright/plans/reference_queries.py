@@ -360,7 +360,8 @@ def leaderboard(spark, d):
     """Five closed-form candidates ranked by validation error, ties by name."""
     p = _split(spark, d)
     train = p.where("split = 'train'")
-    m = train.groupBy("vessel_id").agg(F.avg(TARGET).alias("vessel_mean"), F.percentile(TARGET, F.lit(0.5)).alias("vessel_median"), F.max(TARGET).alias("vessel_max"))
+    middle = features.grouped_medians(train, [TARGET], ("vessel_id",)).select("vessel_id", F.col("value").alias("vessel_median"))
+    m = train.groupBy("vessel_id").agg(F.avg(TARGET).alias("vessel_mean"), F.max(TARGET).alias("vessel_max")).join(middle, "vessel_id")
     g = train.agg(F.avg(TARGET).alias("global_mean"))
     v = p.where("split = 'validation'").join(m, "vessel_id").crossJoin(F.broadcast(g)).withColumn("zero", F.lit(0.0))  # g is one row
     long = v.unpivot([TARGET], ["vessel_mean", "vessel_median", "vessel_max", "global_mean", "zero"], "candidate", "pr")
