@@ -13,7 +13,8 @@ DATE_FORMATS = ("MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """``c`` without white space around it."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def number_value(t: Column) -> Column:
