@@ -224,12 +224,14 @@ def pieces(lines: list[str], characters: int = 250_000) -> Iterator[tuple[int, i
         yield a, len(lines)
 
 
-def row_sums(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by their key, which does not fall."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
+def picked_sums(columns: np.ndarray, pick: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): sums of columns[:, pick] by key, which does not fall; a column at a time, so that each stays in the cache."""
+    out = np.zeros((n, len(columns)), columns.dtype)
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        out[key[first]] = np.add.reduceat(rows, first, axis=0)
+        rows = key[first]
+        for j, c in enumerate(columns):
+            out[rows, j] = np.add.reduceat(c.take(pick), first)
     return out
 
 
@@ -240,18 +242,21 @@ _TABLE = 1 << 14
 
 def _distinct(lines: list[str], doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, sizes, words, sizes): 31-bit hashes of the distinct words and pairs, and distinct words below WORDS, of each document."""
-    terms, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    words, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in pieces(lines):
         h = hashes(lines[a:b], runs=False)
-        of_word, of_pair = doc[a:b][h.of_word], doc[a:b][h.of_pair]
-        terms += [of_word << 31 | h.word & 0x7FFFFFFF, of_pair << 31 | h.pair & 0x7FFFFFFF]
-        words.append(of_word * WORDS + word_number(h))
-    t, w = np.unique(np.concatenate(terms)), np.unique(np.concatenate(words))
-    return t & 0x7FFFFFFF, np.bincount(t >> 31, minlength=docs), w % WORDS, np.bincount(w // WORDS, minlength=docs)
+        words.append(doc[a:b][h.of_word] << 31 | h.word & 0x7FFFFFFF)
+        pairs.append(doc[a:b][h.of_pair] << 31 | h.pair & 0x7FFFFFFF)
+    words, pairs = np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+    of = np.concatenate([words, pairs]) >> 31
+    order = np.argsort(of, kind="stable")
+    t = (np.concatenate([words, pairs]) & 0x7FFFFFFF)[order]
+    w = np.unique((words >> 31) * WORDS + (words & (WORDS - 1)))
+    return t, np.bincount(of, minlength=docs), w % WORDS, np.bincount(w // WORDS, minlength=docs)
 
 
 def word_number(h: Hashes) -> np.ndarray:
-    return h.word >> 31 & (WORDS - 1)
+    return h.word & (WORDS - 1)
 
 
 def _sentences_of(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -525,12 +530,13 @@ class Model:
         known = np.stack([*self.leaves.values(), np.zeros(len(self.subjects))])
         place = {k: i for i, k in enumerate(self.leaves)}
         of_leaf = LEAF_WEIGHT * known[np.array([place.get(k, len(place)) for k in leaf.tolist()], np.int64)]
+        columns = np.ascontiguousarray(self.weights.T)
         out = np.zeros(len(lines), np.int64)
         for a, b in pieces(lines):
             n, h = b - a, hashes(lines[a:b])
             sc, sizes = np.zeros((n, len(self.subjects))), np.zeros(n, np.int64)
             for t, of in ((h.word, h.of_word), (h.pair, h.of_pair), (h.run, h.of_run)):
-                sc += row_sums(self.weights[t & (TERMS - 1)], of, n)
+                sc += picked_sums(columns, t & (TERMS - 1), of, n)
                 sizes += np.bincount(of, minlength=n)
             out[a:b] = (sc / np.sqrt(np.maximum(sizes, 1))[:, None] + self.prior + of_leaf[a:b]).argmax(1)
         return out
@@ -582,7 +588,7 @@ def fit(sample: list, names: list[str], leaves: list[int], mixtures: np.ndarray,
     h = hashes(lines)
     first = log_odds(mixtures.T @ words[0], mixtures.T @ words[1])
     first[-1] = 0.0
-    sc = row_sums(first.T[word_number(h)], h.of_word, len(lines)) / np.sqrt(np.maximum(np.bincount(h.of_word, minlength=len(lines)), 1))[:, None]
+    sc = picked_sums(first, word_number(h), h.of_word, len(lines)) / np.sqrt(np.maximum(np.bincount(h.of_word, minlength=len(lines)), 1))[:, None]
     sc[:, -1] = START
 
     few = Terms(Hashes(h.word, h.of_word, h.pair, h.of_pair, h.word[:0], h.of_word[:0]), len(lines))
@@ -625,20 +631,21 @@ class Terms:
         self.row = of[order]
         self.term = (np.concatenate([h.word, h.pair, h.run]) & (TERMS - 1))[order]
         self.n, self.sizes = n, np.maximum(np.bincount(of, minlength=n), 1)
-        self.by_term = np.argsort(self.term, kind="stable")
+        by_term = np.argsort(self.term, kind="stable")
+        self.row_by_term, self.term_by_term = self.row[by_term], self.term[by_term]
 
     def weights(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of how much oftener each term occurs about a subject than at all; log shares of the subjects.
 
         Weights are relative to the corpus: terms that tell nothing weigh nothing.
         """
-        count = row_sums(p.astype(np.float32)[self.row[self.by_term]], self.term[self.by_term], TERMS).astype(float)
+        count = picked_sums(np.ascontiguousarray(p.T, np.float32), self.row_by_term, self.term_by_term, TERMS).astype(float)
         back = (count.sum(1) + 0.5) / (count.sum() + 0.5 * TERMS)
         w = np.log((count + 2 * back[:, None] + 1e-3) / (count.sum(0) + 2 + 1e-3 * TERMS)) - np.log(back)[:, None]
         return w, np.log(p.mean(0) + 1e-9)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        return row_sums(w.astype(np.float32)[self.term], self.row, self.n).astype(float) / np.sqrt(self.sizes)[:, None]
+        return picked_sums(np.ascontiguousarray(w.T, np.float32), self.term, self.row, self.n).astype(float) / np.sqrt(self.sizes)[:, None]
 
 
 # ---- assignment --------------------------------------------------------------------------------
