@@ -78,13 +78,14 @@ def cell_counts(rows: DataFrame, load: str, columns: list[str]) -> DataFrame:
 
 
 def expressions(values: DataFrame) -> DataFrame:
-    """``values`` (with col, v and s0) plus ``expr``, the induced expression; null if v conforms to none.
+    """``values`` (with col, v and perhaps s0) plus ``expr``, the induced expression; null if v conforms to none.
 
     The description lengths are sums over all distinct values of a column. All
     of it but the count of distinct values works on shapes, and sums over the
     shapes of an expression are aggregations by it, so that no task sorts or
     holds the shapes of one.
     """
+    values = values if "s0" in values.columns else values.withColumn("s0", exact_shape(F.col("v")))
     # one row for each exact shape: distinct values and their characters
     shapes = stage(values.where("v is not null").groupBy("col", "s0", "v").agg(F.lit(1).alias("one")).groupBy("col", "s0").agg(F.count("*").alias("k")))
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace("s0", "9+", "9+"), r"(?<!\+)A+", "A+"), r"a+", "a+")
