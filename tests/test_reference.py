@@ -125,7 +125,7 @@ def test_split_is_a_partition_whatever_the_bucket(spark, n, width):
 def test_no_leakage(spark):
     fits = []
     for future in (10.0, 10000.0):
-        x, imputer, scaler = reference_queries.classical_features(split.chronological(canonical_rows(spark, future=future)))
+        x, imputer, scaler = features.classical_features(split.chronological(canonical_rows(spark, future=future)))
         fits.append((imputer.fills, scaler.stats, sorted(map(tuple, x.where("split = 'train'").select("record_id", "z_speed_over_ground").collect()))))
     assert fits[0] == fits[1]
 
